@@ -3,15 +3,33 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pagetwin.llm import exact
+from pagetwin.llm import exact, fingerprints, licenses, shards
 from pagetwin.llm.rows import documents
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(documents(spark, sf_dir))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+
+def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shards.shard_documents(documents(spark, sf_dir))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(documents(spark, sf_dir))
+    joined = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
+    weight = F.greatest(F.when(F.col("n_base") > 0, F.lit(0.7)).otherwise(F.lit(0.0)), F.coalesce(F.array_max("detections.weight"), F.lit(0.0)))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", joined("base_labels").alias("base_labels"), joined(F.concat("base_labels", "detections.label")).alias("labels"), weight.alias("score"))
+
+
 OP3_SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY text) AS keep_id, count(*) OVER (PARTITION BY text) AS group_size,
@@ -19,5 +37,5 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY text) AS keep_id, count(*) OVER (P
 FROM d
 """
 
-QUERIES = {"op3_exact_dedup": op3_exact_dedup}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op3_exact_dedup, op9_shards, op10_licenses)}
 ORACLE = {"op3_exact_dedup": OP3_SQL}
