@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetwin.llm import exact, fingerprints, licenses, shards
+from pagetwin.llm import bpe, exact, fingerprints, licenses, packing, shards
 from pagetwin.llm.rows import documents
 
 
@@ -18,6 +19,14 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shards.shard_documents(documents(spark, sf_dir))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
@@ -37,5 +46,5 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY text) AS keep_id, count(*) OVER (P
 FROM d
 """
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op3_exact_dedup, op9_shards, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op3_exact_dedup, op4_bpe, op8_packing, op9_shards, op10_licenses)}
 ORACLE = {"op3_exact_dedup": OP3_SQL}
