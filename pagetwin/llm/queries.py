@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetwin.llm import bpe, exact, fingerprints, licenses, packing, shards
+from pagetwin.llm import bpe, exact, fingerprints, licenses, minhash, packing, shards
 from pagetwin.llm.rows import documents
 
 
@@ -14,6 +14,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(documents(spark, sf_dir))
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), minhash.Spec(words=3, num=85, den=100)).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -46,5 +50,20 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY text) AS keep_id, count(*) OVER (P
 FROM d
 """
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op3_exact_dedup, op4_bpe, op8_packing, op9_shards, op10_licenses)}
-ORACLE = {"op3_exact_dedup": OP3_SQL}
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) END AS s FROM w),
+c AS (SELECT s, list_sort(list_distinct(list(doc_id))) AS ids, min(doc_id) AS a FROM (SELECT doc_id, list_sort(s) AS s FROM s) WHERE len(s) > 0 GROUP BY s),
+g AS (SELECT a, len(s) AS n, unnest(s) AS g FROM c),
+p AS (SELECT x.a AS a, y.a AS b FROM g x JOIN g y ON x.g = y.g AND x.a <> y.a GROUP BY x.a, y.a, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+r(a, b) AS (SELECT a, a FROM c UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+k AS (SELECT a, min(b) AS b FROM r GROUP BY a),
+m AS (SELECT unnest(ids) AS doc_id, b FROM c JOIN k USING (a))
+SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(m.b, s.doc_id) AS component_id, coalesce(m.b, s.doc_id) = s.doc_id AS kept FROM s LEFT JOIN m USING (doc_id)
+"""
+
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_minhash, op3_exact_dedup, op4_bpe, op8_packing, op9_shards, op10_licenses)}
+ORACLE = {"op2_minhash": OP2_SQL, "op3_exact_dedup": OP3_SQL}
