@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetwin.llm import bpe, exact, fingerprints, licenses, minhash, packing, shards
+from pagetwin.llm import bpe, exact, fingerprints, licenses, minhash, packing, shards, substrings
 from pagetwin.llm.rows import documents
 
 
@@ -27,6 +27,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_paragraphs(documents(spark, sf_dir)).select("doc_id", "paragraph", "start", "end", "n_words", "keep_doc_id", "keep_paragraph", "cluster_size", "removed")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -65,5 +69,25 @@ m AS (SELECT unnest(ids) AS doc_id, b FROM c JOIN k USING (a))
 SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(m.b, s.doc_id) AS component_id, coalesce(m.b, s.doc_id) = s.doc_id AS kept FROM s LEFT JOIN m USING (doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_minhash, op3_exact_dedup, op4_bpe, op8_packing, op9_shards, op10_licenses)}
-ORACLE = {"op2_minhash": OP2_SQL, "op3_exact_dedup": OP3_SQL}
+OP5_SQL = r"""
+WITH RECURSIVE l AS (
+  SELECT doc_id, i - 1 AS p, t[i] AS t, coalesce(list_sum(list_transform(t[1:i-1], lambda x: len(x) + 1)), 0) AS start
+  FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents))),
+w AS (
+  SELECT *, row_number() OVER (ORDER BY doc_id, p) AS u FROM (
+  SELECT doc_id, p, start, start + len(t) AS e, list_filter(regexp_split_to_array(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM l)
+  WHERE len(w) >= 25),
+s AS (SELECT u, list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))) AS s FROM w),
+c AS (SELECT s, list(u) AS us, min(u) AS a FROM s GROUP BY s),
+g AS (SELECT a, len(s) AS n, unnest(s) AS g FROM c),
+q AS (SELECT x.a AS a, y.a AS b FROM g x JOIN g y ON x.g = y.g AND x.a <> y.a GROUP BY x.a, y.a, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+r(a, b) AS (SELECT a, a FROM c UNION SELECT r.a, q.b FROM r JOIN q ON r.b = q.a),
+k AS (SELECT a, min(b) AS b FROM r GROUP BY a),
+m AS (SELECT unnest(us) AS u, b FROM c JOIN k USING (a)),
+z AS (SELECT b, count(*) AS cluster_size, min(u) AS first FROM m GROUP BY b HAVING count(*) > 1)
+SELECT w.doc_id, w.p::INT AS paragraph, w.start::INT AS start, w.e::INT AS "end", len(w.w)::INT AS n_words, f.doc_id AS keep_doc_id, f.p::INT AS keep_paragraph, z.cluster_size, w.u <> z.first AS removed
+FROM m JOIN z USING (b) JOIN w USING (u) JOIN w f ON f.u = z.first
+"""
+
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_minhash, op3_exact_dedup, op4_bpe, op5_substring_dedup, op8_packing, op9_shards, op10_licenses)}
+ORACLE = {"op2_minhash": OP2_SQL, "op5_substring_dedup": OP5_SQL, "op3_exact_dedup": OP3_SQL}
