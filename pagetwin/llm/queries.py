@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetwin.llm import bpe, exact, fingerprints, licenses, minhash, packing, shards, substrings
+from pagetwin.llm import bpe, exact, fingerprints, langid, licenses, minhash, packing, quality, shards, substrings
 from pagetwin.llm.rows import documents
 
 
@@ -31,6 +31,16 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_paragraphs(documents(spark, sf_dir)).select("doc_id", "paragraph", "start", "end", "n_words", "keep_doc_id", "keep_paragraph", "cluster_size", "removed")
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return langid.identify(docs, langid.fit_documents(docs))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.rate_documents(docs, quality.fit_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -89,5 +99,5 @@ SELECT w.doc_id, w.p::INT AS paragraph, w.start::INT AS start, w.e::INT AS "end"
 FROM m JOIN z USING (b) JOIN w USING (u) JOIN w f ON f.u = z.first
 """
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_minhash, op3_exact_dedup, op4_bpe, op5_substring_dedup, op8_packing, op9_shards, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_minhash, op3_exact_dedup, op4_bpe, op5_substring_dedup, op6_langid, op7_quality, op8_packing, op9_shards, op10_licenses)}
 ORACLE = {"op2_minhash": OP2_SQL, "op5_substring_dedup": OP5_SQL, "op3_exact_dedup": OP3_SQL}
