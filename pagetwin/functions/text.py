@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +13,11 @@ WS = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEF
 _BOUNDARY = r"(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
 
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c evaluated once, however often f uses it: a lambda's variable, where a column would be repeated."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def collapse_ws(c: Column) -> Column:
     """Runs of white space as one space; zero-width characters go."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\u200B-\u200D\uFEFF]", ""), f"[{WS}]+", " "))
@@ -78,10 +84,13 @@ def tokens(c: Column) -> Column:
 
 def dice(a: Column, b: Column) -> Column:
     """Word-multiset Dice coefficient; equal strings are 1, a side without tokens is 0."""
-    ta, tb = tokens(a), tokens(b)
     count = lambda ts, w: F.size(F.filter(ts, lambda x: x == w))
-    shared = F.aggregate(F.array_intersect(ta, tb), F.lit(0), lambda acc, w: acc + F.least(count(ta, w), count(tb, w)))
-    return F.when(a == b, F.lit(1.0)).when((F.size(ta) == 0) | (F.size(tb) == 0), F.lit(0.0)).otherwise(shared * 2.0 / (F.size(ta) + F.size(tb)))
+
+    def of(t: Column) -> Column:
+        shared = F.aggregate(F.array_intersect(t["a"], t["b"]), F.lit(0), lambda acc, w: acc + F.least(count(t["a"], w), count(t["b"], w)))
+        return F.when((F.size(t["a"]) == 0) | (F.size(t["b"]) == 0), F.lit(0.0)).otherwise(shared * 2.0 / (F.size(t["a"]) + F.size(t["b"])))
+
+    return F.when(a == b, F.lit(1.0)).otherwise(let(F.struct(tokens(a).alias("a"), tokens(b).alias("b")), of))
 
 
 #: Words of a page that count for its shingles.
@@ -90,9 +99,13 @@ SHINGLE_WORDS = 4000
 
 def shingles(c: Column, n: int = 3, most: int = SHINGLE_WORDS) -> Column:
     """Distinct n-word shingles of the first `most` words; fewer words make one shingle."""
-    w = F.slice(F.filter(F.split(F.lower(c), f"[{WS}]+"), lambda x: x != ""), 1, most)
-    many = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
-    return F.when(F.size(w) == 0, F.array().cast("array<string>")).when(F.size(w) < n, F.array(F.array_join(w, " "))).otherwise(F.array_distinct(many))
+    words = F.slice(F.filter(F.split(F.lower(c), f"[{WS}]+"), lambda x: x != ""), 1, most)
+
+    def of(w: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
+        return F.when(F.size(w) == 0, F.array().cast("array<string>")).when(F.size(w) < n, F.array(F.array_join(w, " "))).otherwise(F.array_distinct(many))
+
+    return let(words, of)
 
 
 def jaccard(a: Column, b: Column) -> Column:

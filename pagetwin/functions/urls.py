@@ -9,6 +9,8 @@ from urllib.parse import urlsplit
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pagetwin.functions.text import let
+
 
 @dataclass(frozen=True)
 class Scope:
@@ -65,7 +67,7 @@ def decode_uri(c: Column) -> Column:
 
 
 def is_in_scope(u: Column, host: str | Column, base_path: str | Column, cfg: dict) -> Column:
-    p = F.when(path(u) == "", F.lit("/")).otherwise(path(u))
+    p = _filled(path(u))
     same = scheme(u).isin("http", "https") & (norm_host(u, cfg["crawl"]["wwwEquivalent"]) == _c(host))
     return F.coalesce(same & (F.startswith(p, _c(base_path)) | (F.concat(p, F.lit("/")) == _c(base_path))), F.lit(False))
 
@@ -73,20 +75,28 @@ def is_in_scope(u: Column, host: str | Column, base_path: str | Column, cfg: dic
 def to_key(u: Column, base_path: str | Column, cfg: dict) -> Column:
     """Page key: the path below the start URL without index file, trailing slashes, query and fragment."""
     base = _c(base_path)
-    p = F.regexp_replace(decode_uri(F.when(path(u) == "", F.lit("/")).otherwise(path(u))), "/{2,}", "/")
-    p = F.when(F.startswith(p, base), F.concat(F.lit("/"), F.substr(p, F.length(base) + 1))).when(F.concat(p, F.lit("/")) == base, F.lit("/")).otherwise(p)
     files = "|".join(re.escape(f) for f in cfg["crawl"]["indexFiles"])
-    if files:
-        p = F.regexp_replace(p, rf"(?i)/(?:{files})$", "/")
-    p = F.when(F.length(p) > 1, F.regexp_replace(p, "/+$", "")).otherwise(p)
-    p = F.when(p == "", F.lit("/")).otherwise(p)
     keep = cfg["crawl"]["keepQueryParams"]
+
+    def below(p: Column) -> Column:
+        return F.when(F.startswith(p, base), F.concat(F.lit("/"), F.substr(p, F.length(base) + 1))).when(F.concat(p, F.lit("/")) == base, F.lit("/")).otherwise(p)
+
+    def trimmed(p: Column) -> Column:
+        # Index files and trailing slashes in two replacements; nothing left is the start page.
+        bare = F.regexp_replace(F.regexp_replace(p, rf"(?i)/(?:{files})$", "/") if files else p, "(?<=.)/+$", "")
+        return F.when(bare == "", F.lit("/")).otherwise(bare)
+
+    p = let(F.regexp_replace(let(_filled(path(u)), decode_uri), "/{2,}", "/"), lambda p: let(below(p), trimmed))
     if keep:
         pairs = F.array_sort(F.filter(F.split(query(u), "&"), lambda x: F.regexp_extract(x, "^([^=]*)", 1).isin(*keep)))
-        p = F.when(F.size(pairs) > 0, F.concat(p, F.lit("?"), F.array_join(pairs, "&"))).otherwise(p)
+        p = F.concat(p, F.when(F.size(pairs) > 0, F.concat(F.lit("?"), F.array_join(pairs, "&"))).otherwise(F.lit("")))
     return p
 
 
+def _filled(p: Column) -> Column:
+    return F.when(p == "", F.lit("/")).otherwise(p)
+
+
 def key_to_url(key: Column, scope: Scope) -> Column:
     return F.concat(F.lit(scope.origin + scope.base_path.removesuffix("/")), key)
 
@@ -94,8 +104,7 @@ def key_to_url(key: Column, scope: Scope) -> Column:
 def loose_key(key: Column) -> Column:
     """Pairs keys that differ only cosmetically: case, page extension, underscores."""
     k = F.regexp_replace(F.lower(key), r"\.(html?|php|aspx?|jsp|cfm)(?=$|\?)", "")
-    k = F.regexp_replace(F.translate(k, "_", "-"), "/+$", "")
-    return F.when(k == "", F.lit("/")).otherwise(k)
+    return let(F.regexp_replace(F.translate(k, "_", "-"), "/+$", ""), _filled)
 
 
 def _tracking(cfg: dict) -> str:

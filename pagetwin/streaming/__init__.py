@@ -1 +1 @@
-"""pagetwin.streaming"""
+"""Streams of re-crawled pages."""
