@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -74,18 +75,38 @@ class Packer:
 _TOKENIZERS: dict[int, Stretches] = {}
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself where it prints, else the next from 256 on."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(prints)]
+    return {b: chr(b) for b in prints} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 def tokenizer(blob: bytes) -> Stretches:
-    """The worker's tokenizer of this vocabulary; special tokens' strings are ordinary text."""
+    """The worker's tokenizer of this vocabulary; special tokens' strings are ordinary text.
+
+    A word of Latin letters, with the space before it, is one match of the split pattern, so the
+    vocabulary's model encodes it without the steps around it; anything else takes them all.
+    """
     key = zlib.crc32(blob)
     if key not in _TOKENIZERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from array import array
-
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_buffer(blob)
         t.encode_special_tokens = True
-        many = lambda texts: [array("I", e.ids).tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
+        model, letters = t.model, byte_letters()
+
+        def one_match(text: str) -> bool:
+            word = text[1:] if text[:1] == " " else text
+            return word.isalpha() and (word.isascii() or max(word) < "\u0250")
+
+        def many(texts: list[str]) -> list[bytes]:
+            rest = [x for x in texts if not one_match(x)]
+            full = dict(zip(rest, t.encode_batch(rest, add_special_tokens=False))) if rest else {}
+            ids = lambda x: full[x].ids if x in full else [k.id for k in model.tokenize(x.encode().decode("latin-1").translate(letters))]
+            return [array("I", ids(x)).tobytes() for x in texts]
+
         _TOKENIZERS[key] = Stretches(many)
     return _TOKENIZERS[key]
 
