@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,20 @@ SERVED = "site string, path string, status int, redirect_to string, content_type
 TYPES = {"html": "text/html", "htm": "text/html", "txt": "text/plain", "xml": "application/xml", "json": "application/json", "css": "text/css", "js": "text/javascript", "svg": "image/svg+xml", "png": "image/png", "jpg": "image/jpeg", "pdf": "application/pdf"}
 
 
+def small_file(spark: SparkSession, path: str) -> str | None:
+    """Text of a small file wherever Spark can read it, hidden ones too; null if there is none."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def site_folder(spark: SparkSession, folder: str, site: str) -> DataFrame:
     """Files below `folder` as served pages: index.html answers for its directory, `_redirects.json` maps paths to 301 targets."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
@@ -26,8 +41,8 @@ def site_folder(spark: SparkSession, folder: str, site: str) -> DataFrame:
     page = named.where("rel not rlike '/_[^/]*$'")
     own = page.select(F.lit(site).alias("site"), F.col("rel").alias("path"), F.lit(200).alias("status"), plain.alias("redirect_to"), kind.alias("content_type"), text.alias("html"), plain.alias("error"))
     index = own.where(F.col("path").rlike("/index\\.html$")).withColumn("path", F.regexp_replace("path", "index\\.html$", ""))
-    mapping = named.where("rel = '/_redirects.json'").select(F.explode(F.from_json(F.decode("content", "UTF-8"), "map<string,string>")).alias("path", "to"))
-    redirects = mapping.select(F.lit(site).alias("site"), "path", F.lit(301).alias("status"), F.col("to").alias("redirect_to"), plain.alias("content_type"), plain.alias("html"), plain.alias("error"))
+    targets = json.loads(small_file(spark, f"{folder.rstrip('/')}/_redirects.json") or "{}")
+    redirects = spark.createDataFrame([(site, p, 301, t, None, None, None) for p, t in targets.items()], SERVED)
     return own.where(~F.col("path").rlike("/index\\.html$")).unionByName(index).unionByName(redirects)
 
 
