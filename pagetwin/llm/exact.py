@@ -107,7 +107,8 @@ def recipes(docs: DataFrame, scratch: Scratch, hash_bits: int = 128) -> DataFram
     if clashes.isEmpty():
         return base
     # Different bytes share an id: chunks of such ids are named by their SHA-256.
-    again = chunked.select("doc_id", F.monotonically_increasing_id().alias("uid"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), F.posexplode_outer("chunks").alias("at", "bytes"))
+    numbered = chunked.select("doc_id", F.monotonically_increasing_id().alias("uid"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "chunks")
+    again = numbered.select("doc_id", "uid", "text_sha256", F.posexplode_outer("chunks").alias("at", "bytes"))
     named = again.withColumn("id", chunk_id(F.col("bytes"), hash_bits)).withColumn("sha", F.sha2("bytes", 256)).drop("bytes")
     named = named.join(clashes.withColumn("clash", F.lit(True)), "id", "left").withColumn("id", F.when(F.col("clash"), F.concat_ws("-", "id", "sha")).otherwise(F.col("id")))
     lists = named.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.first("text_sha256").alias("text_sha256"), F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("at", "id")))).alias("list"))
