@@ -117,9 +117,10 @@ def recipes(docs: DataFrame, scratch: Scratch, hash_bits: int = 128) -> DataFram
 
 def exact_groups(docs: DataFrame, hash_bits: int = 128) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, n_chunks."""
-    spark = prepare(docs.sparkSession)
-    base = recipes(docs, Scratch(spark, "exact"), hash_bits)
-    best = base.groupBy("recipe").agg(F.max(F.struct("doc_id", "uid")).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    scratch = Scratch(prepare(docs.sparkSession), "exact")
+    base = recipes(docs, scratch, hash_bits)
+    # Written first, so that the join has exchanges of its own, whose hot recipes can be split.
+    best = scratch.table(base.groupBy("recipe").agg(F.max(F.struct("doc_id", "uid")).alias("best"), F.count(F.lit(1)).alias("group_size")))
     joined = base.join(best, "recipe")
     return joined.select(
         "doc_id",
