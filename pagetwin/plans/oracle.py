@@ -112,6 +112,7 @@ SELECT a.key AS key_a, b.key AS key_b FROM l a JOIN l b ON a.loose = b.loose AND
     "text_set_diff": """WITH l AS (SELECT doc_id // 2 AS pair, doc_id % 2 AS side, unnest(string_split(text, chr(10))) AS line FROM documents),
 n AS (SELECT pair, line, count(*) FILTER (side = 0) - count(*) FILTER (side = 1) AS n FROM l GROUP BY pair, line HAVING n <> 0)
 SELECT pair, sum(greatest(n, 0))::BIGINT AS missing, sum(greatest(-n, 0))::BIGINT AS added FROM n GROUP BY pair""",
+    "visual_first_pairs": f"WITH {FIRST}, {SAME} SELECT key AS path, page_a, page_b, row_number() OVER (ORDER BY key)::INT AS n FROM same QUALIFY n <= 50",
     "sitewide_fingerprints": f"{WITH} SELECT sig, target, count(DISTINCT path) AS n_pages FROM links GROUP BY sig, target HAVING count(DISTINCT path) >= greatest(3, ceil((SELECT count(*) FROM same) * 0.01))",
     "summary_by_significance": f"{WITH}, names AS (SELECT unnest(['error', 'missing', 'changed', 'added', 'structural', 'cosmetic']) AS sig, unnest(range(6))::INT AS rank) SELECT names.sig, rank, count(links.sig) AS n FROM names LEFT JOIN links USING (sig) GROUP BY names.sig, rank",
     "worst_rank": f"{WITH}, {WORST} SELECT path, worst, n_diffs FROM worst",

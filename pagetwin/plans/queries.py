@@ -6,6 +6,8 @@ keys are paths. Queries run over whole tables.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,6 +22,7 @@ from pagetwin.operators.pairing import page_state, similar_pages
 from pagetwin.operators.assign import assign_greedy
 from pagetwin.operators.snapshots import snapshot, with_raw
 from pagetwin.session import Scratch
+from pagetwin.streaming.rediff import baseline, watch
 
 CFG = build_config()
 
@@ -322,6 +325,34 @@ def heading_align(spark, d):
     return df_.heading_diffs(_doc_pairs(spark, d), CFG).select("path", "sig", "title", "place")
 
 
+def diff_all_categories(spark, d):
+    """Differences of all categories inside same-path pages."""
+    pairs = Scratch(spark, "q-diffs").table(_pairs(spark, d))
+    renames = spark.createDataFrame([], "key_a string, key_b string")
+    statuses = spark.createDataFrame([], "site string, key string, status int, error string, robots boolean")
+    nowhere = urls.Scope("", "", "", "/")
+    parts = [
+        df_.metadata_diffs(pairs, renames), df_.heading_diffs(pairs, CFG), df_.structure_diffs(pairs), df_.text_diffs(pairs, CFG),
+        df_.link_diffs(pairs, renames, statuses, nowhere, CFG, "A"), df_.image_diffs(pairs), df_.form_diffs(pairs, renames), df_.cta_diffs(pairs, renames),
+    ]
+    return reduce(DataFrame.unionByName, parts).select("path", "category", "sig", "title", F.array_join("a", " / ").alias("a"), F.array_join("b", " / ").alias("b"))
+
+
+def stream_rediff(spark, d):
+    """Site B's pages arrive as a stream and are compared with site A's, batch by batch."""
+    pages = table(spark, d, "pages")
+    base = baseline(pages.where("page_id % 2 = 0"), CFG)
+    scratch = Scratch(spark, "q-stream")
+    arriving = spark.readStream.schema(pages.schema).parquet(f"{d}/[p]ages.parquet").where("page_id % 2 = 1")
+    watch(arriving, base, CFG, f"{scratch.root}/out", f"{scratch.root}/log").awaitTermination()
+    return spark.read.parquet(f"{scratch.root}/out").select("path", "category", "sig", "title")
+
+
+def visual_first_pairs(spark, d):
+    """The first 50 same-path pairs in pairing order, which is what a visual comparison covers."""
+    return pair_same_path(spark, d).withColumn("n", F.row_number().over(Window.orderBy("path"))).where(F.col("n") <= CFG["visual"]["maxPages"])
+
+
 # ---- site-wide and summary
 
 
@@ -390,7 +421,7 @@ QUERIES = {
         text_collapse_ws, text_typography, text_cos, mask_iso_timestamp, mask_clock_seconds, mask_clock, mask_relative_time, mask_copyright, mask_date, mask_uuid,
         mask_hex_token, value_significance, text_tokens, token_counts, dice_similarity, shingle_counts, shingle_jaccard, pair_moved, page_first_wins, page_states,
         pair_same_path, pair_url_variant, pair_one_sided, extract_title_h1_lang, extract_nav_links, extract_structure, extract_blocks, meta_diff_title, link_set_diff,
-        link_broken, text_set_diff, text_align, heading_align, sitewide_fingerprints, summary_by_significance, worst_rank, page_order, top_n_per_category, link_closure,
+        link_broken, text_set_diff, text_align, heading_align, diff_all_categories, stream_rediff, visual_first_pairs, sitewide_fingerprints, summary_by_significance, worst_rank, page_order, top_n_per_category, link_closure,
         cta_kth_match, json_config_fields,
     )
 }
