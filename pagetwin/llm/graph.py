@@ -20,13 +20,14 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 50) -> Data
         if not mark[0]:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        # Written first, so that the join has exchanges of its own: the neighbours of a hub can be split.
+        least = scratch.table(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         after = scratch.table(small)
         new = _mark(after)
-        scratch.drop(now)
+        scratch.drop(now, least)
         now, done = after, new == mark
         mark = new
         if done:

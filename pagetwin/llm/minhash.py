@@ -355,7 +355,8 @@ def near_duplicates(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept, class_id, component_size."""
     scratch = Scratch(prepare(docs.sparkSession), "minhash")
     units = scratch.table(linked_units(docs, spec, scratch).select("doc_id", "uid", "n_shingles", "rep", F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("uid")).alias("root"), (F.col("n_shingles") > 0).alias("some")))
-    lows = units.groupBy("root", "some").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("component_size"))
+    # Written first, so that the join has exchanges of its own, whose hot components can be split.
+    lows = scratch.table(units.groupBy("root", "some").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("component_size")))
     return units.join(lows, ["root", "some"]).select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), F.col("rep").alias("class_id"), "component_size")
 
 
