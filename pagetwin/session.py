@@ -9,8 +9,8 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Arrow batches are cut by rows, not bytes; texts may be long, so batches are kept short.
-ARROW_ROWS = "512"
+#: Arrow batches hold so many rows or bytes at most: texts may be long.
+ARROW_ROWS, ARROW_BYTES = "512", "16m"
 _SHIPPED: set[str] = set()
 
 
@@ -30,6 +30,7 @@ def prepare(spark: SparkSession) -> SparkSession:
         _SHIPPED.add(sc.applicationId)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     return spark
 
 
