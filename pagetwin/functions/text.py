@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 #: White space as browsers' regular expressions define it; Java's \s is narrower.
 WS = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+#: Pattern text that begins, or ends, with a word character whatever it matches.
+_WORD_NEXT = re.compile(r"\\d(?![*?])|[A-Za-z0-9_](?![*?{|])|\[0-9a-f\]\{|\(\?=\[0-9a-f\]|\((?:(?:\\d\+|[a-z]+(?:[a-z]\?)?)\|?)+\)(?![*?])")
+_WORD_BEFORE = re.compile(r"(?:(?<![\\])[A-Za-z0-9_]|(?:\\d|\[0-9a-f\])\{\d+,?\d*\})$")
 _BOUNDARY = r"(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
 
 
@@ -29,8 +32,24 @@ def unify_typography(c: Column) -> Column:
 
 
 def java_regex(pattern: str, flags: str = "") -> str:
-    """A browser-style pattern for Java: ASCII word boundaries; the i flag."""
-    return ("(?i)" if "i" in flags else "") + re.sub(r"(\\\\)|\\b", lambda m: m[1] or _BOUNDARY, pattern)
+    """A browser-style pattern for Java: ASCII word boundaries; the i flag.
+
+    A boundary beside what must be a word character needs one look only, which is much faster than the
+    general form.
+    """
+    out, at = [], 0
+    for m in re.finditer(r"\\\\|\\b", pattern):
+        out.append(pattern[at : m.start()])
+        at = m.end()
+        if m[0] != r"\b":
+            out.append(m[0])
+        elif _WORD_NEXT.match(pattern, at):
+            out.append("(?<![0-9A-Za-z_])")
+        elif _WORD_BEFORE.search(pattern[: m.start()]):
+            out.append("(?![0-9A-Za-z_])")
+        else:
+            out.append(_BOUNDARY)
+    return ("(?i)" if "i" in flags else "") + "".join(out) + pattern[at:]
 
 
 def _mask(c: Column, patterns: list[dict]) -> Column:

@@ -21,14 +21,16 @@ from pagetwin.operators.diffs import kth_match
 from pagetwin.operators.pairing import page_state, similar_pages
 from pagetwin.operators.assign import assign_greedy
 from pagetwin.operators.snapshots import snapshot, with_raw
-from pagetwin.session import Scratch
+from pagetwin.session import Scratch, scan
 from pagetwin.streaming.rediff import baseline, watch
 
 CFG = build_config()
+#: Tables whose rows are costly to work on.
+PARSED = {"pages", "documents"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return scan(spark, f"{sf_dir}/{name}.parquet") if name in PARSED else spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def site() -> Column:

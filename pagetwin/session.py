@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Arrow batches hold so many rows or bytes at most: texts may be long.
 ARROW_ROWS, ARROW_BYTES = "512", "16m"
+#: Bytes of a file for each core below which a scan is dealt out.
+SMALL_SCAN = 4 << 20
 _SHIPPED: set[str] = set()
 
 
@@ -34,6 +36,15 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def scan(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table. One that is small for the cores is dealt over all of them, as its few files would leave most idle."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    cores = spark.sparkContext.defaultParallelism
+    table = spark.read.parquet(path)
+    return table.repartition(cores) if size < cores * SMALL_SCAN else table
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share: `spark.checkpoint.dir`, or a local one where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
