@@ -12,7 +12,7 @@ SKIP_EXTENSIONS = (
     "ogg wav css js mjs json xml rss atom txt csv xls xlsx doc docx ppt pptx woff woff2 ttf otf eot"
 ).split()
 REMOVED_SELECTORS = [
-    "script", "style", "noscript", "template", "svg", "[data-sitediff-ignore]", "#onetrust-consent-sdk", "#CybotCookiebotDialog",
+    "script", "style", "noscript", "template", "svg", "[data-pagetwin-ignore]", "#onetrust-consent-sdk", "#CybotCookiebotDialog",
     ".cookie-banner", ".cookie-consent", "#cookie-banner", "#cookie-notice", ".cc-window",
 ]
 TEXT_PATTERNS = [
