@@ -1,4 +1,4 @@
-"""Near-duplicate linking by b-bit MinHash, for whole texts or for their lines.
+"""Near-duplicate linking by b-bit MinHash, for whole texts or for their paragraphs.
 
 1. sketch: word shingles of every unit as a set of 64-bit hashes; minima of `minima` hash functions;
    band keys from groups of minima; the lowest bit of each mixed minimum is kept and packed.
@@ -23,8 +23,10 @@ of a component is that of its non-null ones; an empty table gives no rows; other
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -55,7 +57,7 @@ class Spec:
     num: int = 80  # linked when den * intersection >= num * union
     den: int = 100
     minima: int = 128
-    lines: bool = False  # units are lines, not whole texts
+    lines: bool = False  # units are paragraphs, not whole texts
     min_words: int = 0  # shorter units are left out
     rows: int = 0  # minima in a band; 0: the most that keep MISS
     bands: int = 0
@@ -98,16 +100,71 @@ def shingle_set(words: list[bytes], n: int) -> np.ndarray:
     return np.unique(acc)
 
 
+def shingle_sets(units: list[list[bytes]], n: int) -> list[np.ndarray]:
+    """shingle_set of every unit, many units in one go."""
+    out: list[np.ndarray] = [shingle_set(w, n) if len(w) < n else None for w in units]
+    wait = [k for k, w in enumerate(units) if len(w) >= n]
+    at = 0
+    while at < len(wait):
+        to, size = at, 0
+        while to < len(wait) and (to == at or size + len(units[wait[to]]) <= _BLOCK):
+            size += len(units[wait[to]])
+            to += 1
+        part = wait[at:to]
+        lens = np.array([len(units[k]) for k in part])
+        h = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(units[k] for k in part)), np.uint64, size)
+        acc = np.full(size - n + 1, 0x9E3779B97F4A7C15 * n & (2**64 - 1), np.uint64)
+        for j in range(n):
+            acc = mix(acc + h[j : size - n + 1 + j])
+        owner, ends = np.repeat(np.arange(len(part)), lens), np.cumsum(lens)
+        inside = np.flatnonzero(np.arange(size - n + 1) + n <= ends[owner[: size - n + 1]])
+        acc, owner = acc[inside], owner[inside]
+        order = np.lexsort((acc, owner))
+        acc, owner = acc[order], owner[order]
+        new = np.ones(len(acc), bool)
+        new[1:] = (acc[1:] != acc[:-1]) | (owner[1:] != owner[:-1])
+        acc, owner = acc[new], owner[new]
+        cuts = np.searchsorted(owner, np.arange(len(part) + 1))
+        for i, k in enumerate(part):
+            out[k] = acc[cuts[i] : cuts[i + 1]]
+        at = to
+    return out
+
+
+_ENDS = re.compile(r"[.!?](?=\s)")
+#: Characters before the end of a sentence that decide whether a paragraph ends there.
+LOCAL = 12
+
+
+def paragraph_ends(line: str) -> list[int]:
+    """Where paragraphs of a line end: at about every other end of a sentence, decided by what stands right before it.
+
+    The decision is local, so a passage is cut alike wherever it was put.
+    """
+    found = [m.end() for m in _ENDS.finditer(line)]
+    ends = [e for e in found if xxhash.xxh32_intdigest(line[max(0, e - LOCAL) : e].lower().encode("utf-8", "surrogatepass")) & 1]
+    return ends if ends and ends[-1] == len(line) else [*ends, len(line)]
+
+
 def units_of(text: str, spec: Spec) -> Iterator[tuple[int, int, int, list[bytes]]]:
-    """(position, start, end, words) of the units of a text; start and end count code points."""
+    """(position, start, end, words) of the units of a text; start and end count code points.
+
+    Paragraphs end with their line, or inside of it as paragraph_ends says; those with too few words have no position.
+    """
     if not spec.lines:
         yield -1, 0, len(text), words_of(text.encode("utf-8", "surrogatepass"))
         return
-    at = 0
-    for k, line in enumerate(text.split("\n")):
-        words = words_of(line.encode("utf-8", "surrogatepass"))
-        if len(words) >= spec.min_words:
-            yield k, at, at + len(line), words
+    at = k = 0
+    for line in text.split("\n"):
+        start = 0
+        for end in paragraph_ends(line):
+            while start < end and line[start].isspace():
+                start += 1
+            words = words_of(line[start:end].encode("utf-8", "surrogatepass"))
+            if len(words) >= spec.min_words:
+                yield k, at + start, at + end, words
+                k += 1
+            start = end
         at += len(line) + 1
 
 
@@ -162,14 +219,17 @@ def sketch(docs: DataFrame, spec: Spec) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            src, meta, sets = [], [], []
+            src, places, units = [], [], []
             for k, t in enumerate(batch.column(3)):
                 for pos, start, end, words in units_of(t.as_py(), spec):
-                    s = shingle_set(words, spec.words)
-                    d = xxhash.xxh3_128_digest(s.tobytes())
                     src.append(k)
-                    meta.append((pos, start, end, len(words), len(s), int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)))
-                    sets.append(s)
+                    places.append((pos, start, end, len(words)))
+                    units.append(words)
+            sets = shingle_sets(units, spec.words)
+            meta = []
+            for place, s in zip(places, sets):
+                d = xxhash.xxh3_128_digest(s.tobytes())
+                meta.append((*place, len(s), int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)))
             for lo in range(0, len(src), 4096) or [0]:
                 part = slice(lo, lo + 4096)
                 full = [k for k, s in enumerate(sets[part]) if len(s)]
@@ -266,7 +326,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, spec: Spec) -> DataFrame:
         for batch in batches:
             for t, units in zip(batch.column(0), batch.column(1)):
                 want: dict[int, dict] = {u["pos"]: u for u in units.as_py()}
-                rows = [(want[pos], shingle_set(words, spec.words).tobytes()) for pos, _, _, words in units_of(t.as_py(), spec) if pos in want]
+                found = [(want[pos], words) for pos, _, _, words in units_of(t.as_py(), spec) if pos in want]
+                rows = [(u, s.tobytes()) for (u, _), s in zip(found, shingle_sets([w for _, w in found], spec.words))]
                 yield pa.RecordBatch.from_arrays([*(pa.array([u[c] for u, _ in rows], pa.int64()) for c in ("rep", "cluster", "blocks")), pa.array([s for _, s in rows], pa.binary())], names=["rep", "cluster", "blocks", "set"])
 
     return found.mapInArrow(run, "rep long, cluster long, blocks long, set binary")

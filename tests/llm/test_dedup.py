@@ -176,30 +176,72 @@ def test_estimates_follow_jaccard():
     assert len(many) == 1999
 
 
+def sentences(prose, seed, n):
+    return " ".join(prose(100 * seed + k, 6 + k % 7).capitalize() + "." for k in range(n))
+
+
 def passages(prose):
-    p = prose(99, 60)
+    p, q = prose(99, 60), sentences(prose, 77, 16)
     near = p.split(" ")
     near[30] = "changed"
-    texts = [prose(k, 30, lines=4) for k in range(6)]
+    texts = [prose(k, 30, lines=4) for k in range(8)]
     texts[1] += "\n" + p
     texts[3] = p + "\n" + texts[3]
     texts[4] += "\n" + " ".join(near) + "\nshort line"
     texts[5] += "\nshort line\n" + p.upper()
-    return [*texts, None, "", "short line"]
+    # A passage inside of a line, between words.
+    texts[6] = f"{prose(61, 9)} {q} {prose(62, 12)}"
+    texts[7] = f"{prose(71, 40)}\n{prose(72, 5)} {q} {prose(73, 30)}\n{texts[7]}"
+    return [*texts, None, "", "short line"], q
+
+
+def brute_substrings(texts, spec):
+    """{(doc, paragraph): (first doc, first paragraph, cluster size, removed)} of what is cut and what stays for it."""
+    units = [(i, pos, s, e, w) for i, t in enumerate(texts) for pos, s, e, w in minhash.units_of(t or "", spec)]
+    low = brute([shingle_set(words(texts[i][s:e]), spec.words) for i, _, s, e, _ in units], spec.num, spec.den)
+    again = {k: low[k] != k for k in range(len(units)) if low.count(low[k]) > 1}
+    removed = set()
+    for k in sorted(k for k, a in again.items() if a):
+        run = [k]
+        while again.get(run[-1] + 1) and units[run[-1] + 1][0] == units[k][0] and units[run[-1] + 1][1] == units[run[-1]][1] + 1:
+            run.append(run[-1] + 1)
+        if k - 1 in removed and units[k - 1][0] == units[k][0] or sum(len(units[x][4]) for x in run) >= substrings.RUN_WORDS:
+            removed.add(k)
+    stay = {low[k] for k in removed}
+    return {units[k][:2]: (*units[low[k]][:2], low.count(low[k]), k in removed) for k in removed | stay}, units
 
 
 def test_substring_dedup(docs, prose):
-    texts = passages(prose)
+    texts, q = passages(prose)
     got = substrings.repeated_paragraphs(docs(texts)).collect()
-    assert sorted((r["doc_id"], r["paragraph"], r["removed"]) for r in got) == [(1, 4, False), (3, 0, True), (4, 4, True), (5, 5, True)]
-    assert {(r["keep_doc_id"], r["keep_paragraph"], r["cluster_size"]) for r in got} == {(1, 4, 4)}
-    for r in got:
-        assert texts[r["doc_id"]][r["start"] : r["end"]] == texts[r["doc_id"]].split("\n")[r["paragraph"]]
+    want, units = brute_substrings(texts, substrings.SPEC)
+    assert {(r["doc_id"], r["paragraph"]): (r["keep_doc_id"], r["keep_paragraph"], r["cluster_size"], r["removed"]) for r in got} == want
+    assert {d for d, _ in want} == {1, 3, 4, 5, 6, 7} and all(d in (3, 4, 5, 7) for (d, _), v in want.items() if v[3])
+    place = {(i, pos): (s, e) for i, pos, s, e, _ in units}
+    assert all((r["start"], r["end"]) == place[r["doc_id"], r["paragraph"]] for r in got)
     out = {r["doc_id"]: r for r in substrings.cut_paragraphs(docs(texts)).collect()}
-    for i, t in enumerate(texts):
-        gone = {r["paragraph"] for r in got if r["doc_id"] == i and r["removed"]}
-        want = t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
-        assert out[i]["text"] == want and out[i]["n_chars"] == (None if want is None else len(want)) and out[i]["lang"] == "en"
+    for i in (0, 1, 2, 6, 8, 9, 10):
+        assert out[i]["text"] == texts[i]
+    lines = lambda k: texts[k].split("\n")
+    assert out[3]["text"] == "\n".join(lines(3)[1:]) and out[5]["text"] == "\n".join(lines(5)[:-1])
+    assert out[4]["text"] == "\n".join(x for x in lines(4) if "changed" not in x)
+    left = out[7]["text"]
+    assert len(left.split()) <= len(texts[7].split()) - 0.6 * len(q.split()) and all(x in left for x in (lines(7)[0], *lines(7)[2:], prose(72, 5), prose(73, 30)))
+    assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in out.values())
+
+
+def test_paragraphs_are_local(prose):
+    p = sentences(prose, 5, 40)
+    inner = lambda t: {t[s:e] for _, s, e, _ in minhash.units_of(t, substrings.SPEC)}
+    assert len(inner(p) & inner("other words here " + p + " and more words")) >= len(inner(p)) - 2
+    assert substrings.cut_spans("ab\ncd\nef", [(3, 5)]) == "ab\nef" and substrings.cut_spans("ab\ncd", [(3, 5)]) == "ab" and substrings.cut_spans("x y z", [(2, 3)]) == "x z"
+    assert substrings.cut_spans("ab", [(0, 2)]) == "" and substrings.cut_spans("abc", [(0, 2), (1, 3)]) == ""
+
+
+def test_sets_in_one_go(prose):
+    units = [minhash.words_of(prose(k, n).encode()) for k, n in enumerate([1, 3, 5, 6, 400, 5])] + [[], [b"a"] * 9, [b"x", b"y"] * 7]
+    for n in (3, 5):
+        assert all((a == minhash.shingle_set(w, n)).all() and len(a) == len(minhash.shingle_set(w, n)) for a, w in zip(minhash.shingle_sets(units, n), units))
 
 
 def test_substring_edge_tables(docs, prose):
