@@ -132,17 +132,11 @@ def shingle_sets(units: list[list[bytes]], n: int) -> list[np.ndarray]:
 
 
 _ENDS = re.compile(r"[.!?](?=\s)")
-#: Characters before the end of a sentence that decide whether a paragraph ends there.
-LOCAL = 12
 
 
 def paragraph_ends(line: str) -> list[int]:
-    """Where paragraphs of a line end: at about every other end of a sentence, decided by what stands right before it.
-
-    The decision is local, so a passage is cut alike wherever it was put.
-    """
-    found = [m.end() for m in _ENDS.finditer(line)]
-    ends = [e for e in found if xxhash.xxh32_intdigest(line[max(0, e - LOCAL) : e].lower().encode("utf-8", "surrogatepass")) & 1]
+    """Where paragraphs of a line end: at its sentences. The decision is local, so a passage is parted alike wherever it was put."""
+    ends = [m.end() for m in _ENDS.finditer(line)]
     return ends if ends and ends[-1] == len(line) else [*ends, len(line)]
 
 
