@@ -19,7 +19,7 @@ from pagetwin.llm.rows import narrow, wide_hash
 from pagetwin.session import Scratch
 
 #: Rows wanted in a bucket of the ordering, and the most buckets; their list is sent to every executor.
-BUCKET_ROWS, MAX_BUCKETS, MAX_BOUNDS = 2048, 200_000, 512
+BUCKET_ROWS, MAX_BUCKETS, MAX_BOUNDS = 512, 200_000, 512
 #: Digests with several documents that are broadcast at most; beyond, the join is shuffled.
 BROADCAST_KEYS = 500_000
 
