@@ -237,8 +237,8 @@ def sketch(docs: DataFrame, spec: Spec) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*cols, *m, _lists(bits).take(where), _lists(keys).take(where)], names=["doc_id", "text_hash", "uid", "pos", "start", "end", "n_words", "n_shingles", "s1", "s2", "bits", "bands"])
 
     out = rows.mapInArrow(run, f"doc_id {kind}, text_hash long, {_SKETCH}")
-    # A unit's own id: rows of one text are numbered by their place.
-    return out.withColumn("row", F.col("uid")).withColumn("uid", F.when(F.col("pos") < 0, F.col("uid")).otherwise(F.xxhash64("uid", "pos")))
+    # Units get ids of their own; the caller writes them down before they are used twice.
+    return out.withColumnRenamed("uid", "row").withColumn("uid", F.monotonically_increasing_id())
 
 
 def estimate(x: np.ndarray, y: np.ndarray, minima: int) -> np.ndarray:
@@ -267,12 +267,39 @@ def link_key(ids: np.ndarray, bits: np.ndarray, spec: Spec) -> list[tuple[int, i
     return edges
 
 
+def hot_keys(reps: DataFrame, least: int) -> DataFrame:
+    """(key) of the band keys with about `least` units or more.
+
+    Every task counts all of its keys and hands on those that it met twice or more, so the many keys of
+    one unit are not shuffled; a count is short by one for each stretch in which a key is met once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def count():
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(keys[n > 1]), pa.array(n[n > 1].astype(np.int64))], names=["key", "n"])
+
+        for batch in batches:
+            held.append(batch.column(0).flatten().to_numpy())
+            size += len(held[-1])
+            if size >= 1 << 21:
+                yield count()
+                held, size = [], 0
+        if held:
+            yield count()
+
+    return reps.select("bands").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key")
+
+
 def candidate_links(reps: DataFrame, spec: Spec, scratch: Scratch) -> DataFrame:
     """Edges (a, b) between class representatives that share a band key and may be similar enough."""
     rows = reps.select(F.col("rep"), "bits", F.explode("bands").alias("key"))
     n = reps.count()
     hot_from = max(HOT_LEAST, int(n * HOT_SHARE))
-    hot = scratch.table(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("low")).where(F.col("n") >= hot_from).select("key", "low"))
+    keys = scratch.table(hot_keys(reps, hot_from))
+    hot = scratch.table(rows.join(F.broadcast(keys), "key").groupBy("key").agg(F.min("rep").alias("low")))
     native = rows.join(F.broadcast(hot), "key").select(F.col("low").alias("a"), F.col("rep").alias("b"))
     dealt = rows.join(F.broadcast(hot), "key", "left_anti").repartition(F.col("key")).sortWithinPartitions("key")
     dealt = dealt.select("key", "rep", "bits")
@@ -394,7 +421,8 @@ def linked_units(docs: DataFrame, spec: Spec, scratch: Scratch) -> DataFrame:
     units = scratch.table(sketch(docs, spec))
     some = units.where("n_shingles > 0")
     classes = scratch.table(some.groupBy("s1", "s2").agg(F.min("uid").alias("rep")))
-    reps = scratch.table(some.join(classes.select(F.col("rep").alias("uid")), "uid", "left_semi").dropDuplicates(["uid"]).withColumnRenamed("uid", "rep"))
+    slim = some.select(F.col("uid").alias("rep"), "doc_id", "text_hash", "pos", "n_shingles", "bits", "bands")
+    reps = scratch.table(slim.join(classes.select("rep"), "rep", "left_semi"))
     cand = components(candidate_links(reps, spec, scratch), scratch)
     clusters = scratch.table(cand.select(F.col("node").alias("rep"), F.col("root").alias("cluster")))
     sized = reps.select("rep", "doc_id", "text_hash", "pos", "n_shingles").join(clusters, "rep")
