@@ -24,7 +24,7 @@ from pagetwin.llm.rows import narrow
 from pagetwin.session import prepare
 
 #: Entries that a worker remembers, for stretches and for pieces; later ones are encoded each time.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Longer stretches and pieces are not remembered.
 MEMO_CHARS = 64
 

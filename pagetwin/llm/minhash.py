@@ -284,7 +284,7 @@ def hot_keys(reps: DataFrame, least: int) -> DataFrame:
         for batch in batches:
             held.append(batch.column(0).flatten().to_numpy())
             size += len(held[-1])
-            if size >= 1 << 21:
+            if size >= 1 << 19:
                 yield count()
                 held, size = [], 0
         if held:
