@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetwin.llm import bpe, exact, fingerprints, langid, licenses, minhash, packing, quality, shards, substrings
+from pagetwin.llm import bpe, exact, fingerprints, langid, licenses, minhash, packing, passages, quality, shards
 from pagetwin.llm.rows import documents
 
 
@@ -28,7 +28,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.repeated_paragraphs(documents(spark, sf_dir)).select("doc_id", "paragraph", "start", "end", "n_words", "keep_doc_id", "keep_paragraph", "cluster_size", "removed")
+    return passages.repeated_passages(documents(spark, sf_dir)).select("doc_id", "paragraph", "start", "end", "n_words", "keep_doc_id", "keep_paragraph", "cluster_size", "removed")
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
