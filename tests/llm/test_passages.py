@@ -1,5 +1,7 @@
 """Passages over words: wherever they start and end, and nothing beside them."""
 
+import random
+
 import numpy as np
 import pytest
 
@@ -18,6 +20,26 @@ def test_short_sentences_and_lines(docs, prose, sep):
     assert cut_texts(docs, texts) == [texts[0], f"{prose(3, 40)}\n{prose(4, 40)}"]
 
 
+def test_passages_inside_of_lines(docs, prose):
+    rng = random.Random(3)
+    texts, want = [], []
+    for k in range(40):
+        p = prose(1000 + k, rng.choice([20, 21, 51, 75, 150]))
+        hosts = [prose(2000 + 4 * k + j, rng.randint(1, 60)) for j in range(4)]
+        first = f"{hosts[0]} xa {p} xb {hosts[1]}"
+        texts += [first, f"{hosts[2]} xc {p} xd {hosts[3]}"]
+        want += [first, f"{hosts[2]} xc xd {hosts[3]}"]
+    assert cut_texts(docs, texts) == want
+    rows = passages.repeated_passages(docs(texts)).collect()
+    gone = {r["doc_id"]: r for r in rows if r["removed"]}
+    stay = {r["doc_id"]: r for r in rows if not r["removed"]}
+    assert sorted(gone) == list(range(1, 80, 2)) and sorted(stay) == list(range(0, 80, 2)) and len(rows) == 80
+    for k, r in gone.items():
+        s = stay[k - 1]
+        assert (r["keep_doc_id"], r["keep_paragraph"]) == (k - 1, s["paragraph"]) and r["n_words"] == s["n_words"]
+        assert texts[k][r["start"] : r["end"]] == texts[k - 1][s["start"] : s["end"]]
+
+
 def test_equal_words_and_odd_tables(spark, docs, prose):
     short = prose(5, 19)
     assert cut_texts(docs, [f"a {short} b", f"c {short} d", None, "", "w " * 3000]) == [f"a {short} b", f"c {short} d", None, "", "w " * 12]
