@@ -40,6 +40,16 @@ def test_passages_inside_of_lines(docs, prose):
         assert texts[k][r["start"] : r["end"]] == texts[k - 1][s["start"] : s["end"]]
 
 
+def test_own_lines_between_repeats_stay(docs, prose):
+    p, q = prose(1, 30), prose(2, 30)
+    own = "\n".join(prose(300 + k, 5) for k in range(100))
+    texts = [f"{prose(8, 30)}\n{p}\n{q}", f"{p}\n{own}\n{q}", f"{prose(9, 30)}\n{p}\nshort line\n{q}", f"{p}\nshort line\n{q}\nend"]
+    got = cut_texts(docs, texts)
+    assert got[0] == texts[0] and got[1] == own
+    # An edit of two words inside of 62 is part of a near copy.
+    assert got[2] == prose(9, 30) and got[3] == "end"
+
+
 def test_equal_words_and_odd_tables(spark, docs, prose):
     short = prose(5, 19)
     assert cut_texts(docs, [f"a {short} b", f"c {short} d", None, "", "w " * 3000]) == [f"a {short} b", f"c {short} d", None, "", "w " * 12]
