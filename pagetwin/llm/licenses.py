@@ -122,7 +122,7 @@ PHRASES = [
     ("wtfpl", 0.95, r"you just do what the fuck you want to"),
     ("cc0", 0.85, r"to the extent possible under law (?:\S+ ){1,12}?has waived all copyright"),
     ("ofl", 0.9, r"this font software is licensed under the sil open font license"),
-    ("public-domain", 0.8, r"(?:placed|released|is|are) in(?:to)? the public domain"),
+    ("public-domain", 0.8, r"(?:placed|released|is|are) (?:in|into) the public domain"),
     ("public-domain", 0.8, r"dedicated to the public domain"),
     ("public-domain", 0.6, r"no rights reserved"),
     ("reserved", 0.7, r"some rights reserved"),
@@ -142,7 +142,7 @@ def _spdx(label: str, version: str) -> str:
 
 
 def _gate(*texts: str) -> frozenset[str]:
-    """Plain words that a match must contain; groups and optional parts are no part of it."""
+    """Plain words that a match must contain; groups and optional parts are no part of it, so patterns have groups of whole words only."""
     return frozenset(w for t in texts for w in t.split() if w.isalnum() or w == "©")
 
 
