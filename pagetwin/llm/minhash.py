@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagetwin.llm.graph import components
-from pagetwin.llm.rows import narrow, without
+from pagetwin.llm.rows import narrow
 from pagetwin.session import Scratch, prepare
 
 MISS = 1e-6
@@ -444,7 +444,11 @@ def near_duplicates(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
 
 
 def drop_near(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
-    """`docs` without those that are near another one with a smaller doc_id; all columns stay."""
-    scratch = Scratch(docs.sparkSession, "minhash-drop")
-    found = scratch.table(near_duplicates(docs, spec).select("doc_id", "kept"))
-    return without(docs, found.groupBy("doc_id").agg(F.max("kept").alias("any")).where("not any"))
+    """`docs` without those that are near another one with a smaller (doc_id, text_hash); all columns stay. Rows of equal id and text stay or go together."""
+    scratch = Scratch(prepare(docs.sparkSession), "minhash-drop")
+    units = scratch.table(linked_units(docs, spec, scratch).where("root is not null").select("doc_id", "text_hash", "root"))
+    # Written first, so that the join has exchanges of its own, whose hot components can be split.
+    firsts = scratch.table(units.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    gone = units.join(firsts, "root").where(~F.struct("doc_id", "text_hash").eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__hash")).distinct()
+    gone = scratch.table(gone)
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["__hash"]), "left_anti")
