@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,6 +63,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/pagetwin-{label}-{uuid.uuid4().hex}"
         self._n = 0
+        self._made: list[str] = []
 
     def table(self, df: DataFrame, *, codec: str = "zstd") -> DataFrame:
         """Write `df` as Parquet and return a scan of what was written."""
@@ -70,11 +72,23 @@ class Scratch:
         df.write.option("compression", codec).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self._made.append(path)
         return out
 
+    def keep(self, *tables: DataFrame) -> None:
+        """Delete all tables made so far but these."""
+        held = {t._scratch_path for t in tables}
+        self._delete(p for p in self._made if p not in held)
+        self._made = [p for p in self._made if p in held]
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
+        gone = {t._scratch_path for t in tables}
+        self._delete(gone)
+        self._made = [p for p in self._made if p not in gone]
+
+    def _delete(self, paths: Iterable[str]) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
+        for p in paths:
+            path = jvm.org.apache.hadoop.fs.Path(p)
             path.getFileSystem(conf).delete(path, True)
