@@ -1,7 +1,7 @@
 """Language identification: averaged hashed subword embeddings with a linear softmax, by SGD in numpy.
 
-The model is fitted on the driver from at most about MAX_ROWS labelled texts of at most MAX_CHARS code
-points (both parameters); predictions read whole texts. A text's vector is the mean of the embeddings of
+The model is fitted on the driver from at most about MAX_ROWS labelled texts, of those longer than MAX_CHARS
+code points a stretch of that length (both parameters); predictions read whole texts. A text's vector is the mean of the embeddings of
 its letter n-grams. Scores are softmax probabilities after temperature scaling on rows set aside from the
 sample, and `rejected` marks scores under the threshold that keeps RISK of those rows wrong at most.
 
@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagetwin.llm.rows import narrow
-from pagetwin.llm.samples import labelled
+from pagetwin.llm.rows import narrow, tidy
+from pagetwin.llm.samples import labelled, stretch
 from pagetwin.llm.subwords import counts, word_grams
 from pagetwin.session import prepare
 
@@ -62,6 +62,14 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
+def gradients(rows: np.ndarray, f: np.ndarray, w: np.ndarray, b: np.ndarray, label: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the cross entropy, for the weights, the bias and the embeddings `rows` whose mean by the shares f is the text."""
+    h = f @ rows
+    g = softmax(h @ w + b)
+    g[label] -= 1
+    return np.outer(h, g), g, np.outer(f, w @ g)
+
+
 def fit(texts: list[str], langs: list[str], seed: int = 1) -> Model:
     labels = sorted(set(langs))
     rng = np.random.default_rng(seed)
@@ -94,13 +102,11 @@ def fit(texts: list[str], langs: list[str], seed: int = 1) -> Model:
                 done += 1
                 if not len(at):
                     continue
-                h = f @ emb[at]
-                g = softmax(h @ w + b)
-                g[y[k]] -= 1
-                back = w @ g
-                w -= rate * np.outer(h, g)
-                b -= 0.1 * rate * g
-                emb[at] -= (rate * min(len(at), 20)) * np.outer(f, back)
+                dw, db, de = gradients(emb[at], f, w, b, y[k])
+                w -= rate * dw
+                b -= 0.1 * rate * db
+                # A mean moves every embedding by its small share only; longer steps make up for that.
+                emb[at] -= (rate * min(len(at), 20)) * de
     model = Model(labels, (emb @ w).astype(np.float32), b)
     calibrate(model, [texts[k] for k in aside], y[aside])
     return model
@@ -122,9 +128,8 @@ def calibrate(model: Model, texts: list[str], y: np.ndarray) -> None:
 
 
 def fit_documents(docs: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> Model:
-    rows = docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") <= max_chars))
-    langs = max(1, rows.select("lang").distinct().count())
-    got = sorted(labelled(rows, "lang", max(1, max_rows // langs)), key=lambda r: (str(r["doc_id"]), r["text"]))
+    rows = docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    got = sorted(labelled(rows.withColumn("text", stretch(F.col("text"), max_chars)), "lang", max_rows), key=lambda r: (str(r["doc_id"]), r["text"]))
     return fit([r["text"] for r in got], [r["lang"] for r in got])
 
 
@@ -141,5 +146,5 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             cols = [[g[0] for g in got], [g[1] for g in got], [g[0] == UNKNOWN or g[1] < m.threshold for g in got]]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.float64(), pa.bool_())))], names=["doc_id", "lang_pred", "score", "rejected"])
 
-    found = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, rejected boolean")
+    found = rows.mapInArrow(tidy(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, rejected boolean")
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")

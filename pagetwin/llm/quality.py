@@ -4,8 +4,8 @@ P(grade > k) = sigmoid(w . x - threshold_k): one weight vector over hashed n-gra
 character shapes, shared by all grades, and thresholds in rising order. The expected grade and the tail
 probability (of the best grade, or from `good` on) select documents.
 
-The model is fitted on the driver from at most about MAX_ROWS rated texts of at most MAX_CHARS code points
-(both parameters), each once whole and once as a stretch; ratings are read whole texts otherwise.
+The model is fitted on the driver from at most about MAX_ROWS rated texts, of those longer than MAX_CHARS code
+points a stretch of that length (both parameters), each once whole and once as a short stretch; whole texts are rated.
 
 Defined results: null texts and texts of white space only get the lowest grade, tail 0, and are rejected; a
 document with several ratings is fitted with each; null ratings are ignored; with ratings of one grade or none,
@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagetwin.llm.rows import narrow, without
-from pagetwin.llm.samples import labelled
+from pagetwin.llm.rows import narrow, tidy
+from pagetwin.llm.samples import labelled, stretch
 from pagetwin.llm.subwords import counts, raw_grams
-from pagetwin.session import Scratch, prepare
+from pagetwin.session import prepare
 
 BUCKETS = 1 << 16
 MAX_ROWS, MAX_CHARS = 5000, 20_000
@@ -65,6 +65,23 @@ class Model:
         return float(self.grades[0] + (tail * steps).sum()), float(tail[k - 1]) if k else 1.0
 
 
+def likelihood(z: float, theta: np.ndarray, c: int) -> float:
+    """Of grade c: P(> c - 1) - P(> c)."""
+    above = sigmoid(z - theta[c - 1]) if c else 1.0
+    beyond = sigmoid(z - theta[c]) if c < len(theta) else 0.0
+    return max(above - beyond, 1e-6)
+
+
+def slopes(z: float, theta: np.ndarray, c: int) -> tuple[float, np.ndarray]:
+    """Of the logarithm of the likelihood of grade c, for the score and the thresholds."""
+    p, marks = likelihood(z, theta, c), np.zeros(len(theta))
+    if c:
+        marks[c - 1] = -(s := sigmoid(z - theta[c - 1])) * (1 - s) / p
+    if c < len(theta):
+        marks[c] = (s := sigmoid(z - theta[c])) * (1 - s) / p
+    return -float(marks.sum()), marks
+
+
 def fit(texts: list[str], ratings: list[int], seed: int = 1) -> Model:
     grades = sorted(set(ratings))
     if len(grades) < 2:
@@ -84,36 +101,22 @@ def fit(texts: list[str], ratings: list[int], seed: int = 1) -> Model:
             for (at, x), weight in ((xs[k], 1.0), (features(t[lo : lo + n]), 0.1 if len(t) > n else 0.0)):
                 if not len(at) or not weight:
                     continue
-                z = float(w[at] @ x)
-                up = sigmoid(z - theta)  # P(grade > j)
-                # Likelihood of grade c: P(> c-1) - P(> c).
-                hi = up[y[k] - 1] if y[k] else 1.0
-                lo_p = up[y[k]] if y[k] < len(theta) else 0.0
-                p = max(hi - lo_p, 1e-6)
-                d_hi = hi * (1 - hi) / p if y[k] else 0.0
-                d_lo = lo_p * (1 - lo_p) / p if y[k] < len(theta) else 0.0
-                g = weight * (d_hi - d_lo)
-                step = g * x - L2 * w[at]
+                score, marks = slopes(float(w[at] @ x), theta, int(y[k]))
+                step = weight * score * x - L2 * w[at]
                 seen[at] += step * step
                 w[at] += RATE * step / np.sqrt(seen[at])
-                rate = 0.02 * weight / (1 + epoch)
-                if y[k]:
-                    theta[y[k] - 1] -= rate * d_hi
-                if y[k] < len(theta):
-                    theta[y[k]] += rate * d_lo
-                theta = np.maximum.accumulate(theta)
+                theta = np.maximum.accumulate(theta + 0.02 * weight / (1 + epoch) * marks)
     return Model(grades, w, theta)
 
 
 def fit_documents(docs: DataFrame, labels: DataFrame, rating: str = "quality", max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> Model:
     """The sample of ratings is drawn first; only its few ids are broadcast to the documents."""
     rated = labels.select("doc_id", F.col(rating).cast("int").alias("rating")).where("doc_id is not null and rating is not null").withColumn("text", F.lit(""))
-    grades = max(1, rated.select("rating").distinct().count())
-    chosen = labelled(rated, "rating", max(1, max_rows // grades))
+    chosen = labelled(rated, "rating", max_rows)
     if not chosen:
         return Model([], np.zeros(BUCKETS), np.zeros(0))
     few = docs.sparkSession.createDataFrame([(r["doc_id"], r["rating"]) for r in chosen], f"doc_id {rated.schema['doc_id'].dataType.simpleString()}, rating int")
-    got = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars)).join(F.broadcast(few), "doc_id").collect()  # at most about max_rows rows
+    got = docs.select("doc_id", stretch(F.col("text"), max_chars).alias("text")).where("text is not null").join(F.broadcast(few), "doc_id").collect()  # at most about max_rows rows
     got = sorted(got, key=lambda r: (str(r["doc_id"]), r["text"]))
     return fit([r["text"] for r in got], [r["rating"] for r in got])
 
@@ -131,7 +134,7 @@ def rate_documents(docs: DataFrame, model: Model, good: int | None = None, keep:
             got = [m.rate(t.as_py(), good) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[1] >= keep for g in got], pa.bool_())], names=["doc_id", "expected_grade", "tail_probability", "kept"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, expected_grade double, tail_probability double, kept boolean")
+    return rows.mapInArrow(tidy(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, expected_grade double, tail_probability double, kept boolean")
 
 
 def drop_poor(docs: DataFrame, labels: DataFrame) -> DataFrame:
