@@ -2,8 +2,9 @@
 
 A document is its ids and the end id. One longer than a sequence is cut into pieces of full length,
 the first of which may be shorter. Pieces are dealt by hash into groups of bounded size; a group is
-packed as a stream with a fixed number of open bins in a bitset keyed by free space: a piece goes
-where least space is left after it, and when all bins are in use, the fullest closes first.
+packed as a stream, in the order of another hash, with a fixed number of open bins in a bitset keyed by
+free space: a piece goes where least space is left after it, at once, and when all bins are in use, the
+fullest closes first.
 
 Defined results: null and empty texts are the end id alone; equal rows are packed each for itself;
 ties go to the bin that was used last; an empty table gives no rows; other columns are ignored.
@@ -21,13 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagetwin.llm.bpe import Stretches
-from pagetwin.llm.rows import narrow
+from pagetwin.llm.rows import narrow, tidy
 from pagetwin.session import Scratch, prepare
 
 LENGTH = 2048
 END_ID = 0
 #: Open bins of a group, and pieces wanted in a group.
-OPEN_BINS = 8192
+OPEN_BINS = 1024
 GROUP_PIECES = 65_536
 
 
@@ -72,6 +73,17 @@ class Packer:
         return at, self.length - free
 
 
+class Marked(Stretches):
+    """Stretches for texts without added tokens; texts with one are encoded in one go, as such a token may end a stretch anywhere."""
+
+    def __init__(self, many, added: list[str], whole):
+        super().__init__(many)
+        self.added, self.in_one_go = added, whole
+
+    def encode(self, text: str) -> bytes:
+        return self.in_one_go(text) if any(a in text for a in self.added) else super().encode(text)
+
+
 _TOKENIZERS: dict[int, Stretches] = {}
 
 
@@ -83,7 +95,7 @@ def byte_letters() -> dict[int, str]:
 
 
 def tokenizer(blob: bytes) -> Stretches:
-    """The worker's tokenizer of this vocabulary; special tokens' strings are ordinary text.
+    """The worker's tokenizer of this vocabulary; special tokens in a text are found as the library finds them.
 
     A word of Latin letters, with the space before it, is one match of the split pattern, so the
     vocabulary's model encodes it without the steps around it; anything else takes them all.
@@ -94,7 +106,7 @@ def tokenizer(blob: bytes) -> Stretches:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_buffer(blob)
-        t.encode_special_tokens = True
+        added = [k.content for k in t.get_added_tokens_decoder().values()]
         model, letters = t.model, byte_letters()
 
         def one_match(text: str) -> bool:
@@ -107,7 +119,8 @@ def tokenizer(blob: bytes) -> Stretches:
             ids = lambda x: full[x].ids if x in full else [k.id for k in model.tokenize(x.encode().decode("latin-1").translate(letters))]
             return [array("I", ids(x)).tobytes() for x in texts]
 
-        _TOKENIZERS[key] = Stretches(many)
+        whole = lambda x: array("I", t.encode(x, add_special_tokens=False).ids).tobytes()
+        _TOKENIZERS[key] = Marked(many, added, whole)
     return _TOKENIZERS[key]
 
 
@@ -130,7 +143,7 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str, length: int = LENGTH) ->
                 out.append([{"start": s, "length": n, "ids_crc32": zlib.crc32(view[4 * s : 4 * (s + n)])} for s, n in pieces(len(ids) // 4, length)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, kind)], names=["doc_id", "uid", "pieces"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, uid long, pieces array<struct<start:long,length:long,ids_crc32:long>>")
+    return rows.mapInArrow(tidy(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, uid long, pieces array<struct<start:long,length:long,ids_crc32:long>>")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, length: int = LENGTH, open_bins: int = OPEN_BINS, group_pieces: int = GROUP_PIECES) -> DataFrame:
@@ -140,9 +153,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, length: int = LENGTH, open_
     n = made.agg(F.coalesce(F.sum(F.size("pieces")), F.lit(0)).alias("n")).first()["n"]
     groups = max(1, -(-n // group_pieces))
     each = made.select("doc_id", "uid", F.posexplode("pieces").alias("piece", "p")).select("doc_id", "uid", "piece", "p.*")
-    # Halves first, then by hash: long pieces meet bins, short ones fill what is left.
-    each = each.withColumn("group", F.pmod(F.xxhash64("doc_id", "uid", "piece"), F.lit(groups)))
-    dealt = each.repartition(F.col("group")).sortWithinPartitions("group", F.col("length").desc(), "doc_id", "uid", "piece")
+    each = each.withColumn("group", F.pmod(F.xxhash64("doc_id", "uid", "piece"), F.lit(groups))).withColumn("turn", F.xxhash64(F.lit(1), "doc_id", "uid", "piece"))
+    dealt = each.repartition(F.col("group")).sortWithinPartitions("group", "turn").drop("turn")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, packer = None, None
@@ -156,4 +168,4 @@ def pack_documents(docs: DataFrame, vocabulary: str, length: int = LENGTH, open_
                 off.append(o)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, 2, 3, 4, 5)), pa.array(seq, pa.int64()), pa.array(off, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return dealt.mapInArrow(run, f"doc_id {made.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return dealt.mapInArrow(tidy(run), f"doc_id {made.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
