@@ -1,9 +1,10 @@
 """Canonical exact fingerprints with DataFrame functions only.
 
 Canonical form: NFKC, full case folding, NFKC again, runs of white space as one space, trimmed. The
-digest is 128 bits of xxhash64. Canonical bytes are compared inside every bucket of equal digests; a
-bucket that holds different bytes gets SHA-256 of the canonical text behind its digests. So two
-fingerprints are equal exactly when the canonical texts are, and likeness is 1 or 0.
+digest is 128 bits of xxhash64. Inside every bucket of equal digests the canonical bytes of documents are
+compared, and those of edited texts by their SHA-256, as they are not written anywhere; a bucket that holds
+different ones gets SHA-256 of the canonical text behind its digests. So two fingerprints are equal exactly
+when the canonical texts are, and likeness is 1 or 0.
 
 Defined results: null text counts as empty; null doc_ids sort first; rows of equal doc_id sort by
 their text; a single row is its own next document; an empty table gives no rows; other columns are ignored.
@@ -82,10 +83,13 @@ def _clashes(docs: DataFrame, base: DataFrame, scratch: Scratch, bits: int) -> D
     keys = F.broadcast(shared) if shared.count() <= BROADCAST_KEYS else shared
     canon = docs.select(canonical(F.col("text")).alias("canon")).select("canon", digest(F.col("canon"), bits).alias("digest"))
     same = canon.join(keys, "digest", "left_semi").groupBy("digest").agg(F.min("canon").alias("lo"), F.max("canon").alias("hi"))
-    return scratch.table(same.where("lo <> hi").select("digest"))
+    # Edited texts with each other and with documents: their digests are counted with map-side combining.
+    all_ = base.select(F.explode(F.array(F.struct(F.col("fingerprint").alias("digest"), "sha"), F.struct(F.col("edited_fingerprint").alias("digest"), F.col("edited_sha").alias("sha")))).alias("x")).select("x.*")
+    mixed = all_.groupBy("digest").agg(F.min("sha").alias("lo"), F.max("sha").alias("hi"))
+    return scratch.table(same.where("lo <> hi").select("digest").union(mixed.where("lo <> hi").select("digest")).distinct())
 
 
-def _measured(rows: DataFrame, bits: int, with_sha: bool) -> DataFrame:
+def _measured(rows: DataFrame, bits: int) -> DataFrame:
     pairs = with_next(rows.withColumn("digest", digest(canonical(F.col("text")), bits)))
     n = F.length("text")
     k = F.floor(n / 4).cast("int")
@@ -104,7 +108,8 @@ def _measured(rows: DataFrame, bits: int, with_sha: bool) -> DataFrame:
         F.col("edited_digest").alias("edited_fingerprint"),
         near_edited.alias("near_edited"),
         near_next.alias("near_next"),
-        *([F.sha2(text_canon.cast("binary"), 256).alias("sha"), F.sha2(F.col("edited_canon").cast("binary"), 256).alias("edited_sha")] if with_sha else []),
+        F.unhex(F.sha2(text_canon.cast("binary"), 256)).alias("sha"),
+        F.unhex(F.sha2(F.col("edited_canon").cast("binary"), 256)).alias("edited_sha"),
     )
 
 
@@ -112,12 +117,12 @@ def fingerprint_documents(docs: DataFrame, digest_bits: int = 128) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row."""
     rows = narrow(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
     scratch = Scratch(docs.sparkSession, "fingerprints")
-    base = scratch.table(_measured(rows, digest_bits, with_sha=False))
+    base = scratch.table(_measured(rows, digest_bits))
     clashes = _clashes(rows, base, scratch, digest_bits)
     if clashes.isEmpty():
-        return base
-    marked = _measured(rows, digest_bits, with_sha=True)
+        return base.drop("sha", "edited_sha")
+    marked = base
     for name, sha in (("fingerprint", "sha"), ("edited_fingerprint", "edited_sha")):
         keys = clashes.select(F.col("digest").alias(name), F.lit(True).alias("clash"))
-        marked = marked.join(keys, name, "left").withColumn(name, F.when(F.col("clash"), F.concat_ws("-", name, sha)).otherwise(F.col(name))).drop("clash")
-    return marked.select(*base.columns)
+        marked = marked.join(keys, name, "left").withColumn(name, F.when(F.col("clash"), F.concat_ws("-", name, F.lower(F.hex(sha)))).otherwise(F.col(name))).drop("clash")
+    return marked.select(*(c for c in base.columns if c not in ("sha", "edited_sha")))
