@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagetwin.llm.rows import narrow, wide_hash, without
+from pagetwin.llm.rows import narrow, opened, own, sealed, wide_hash
 from pagetwin.session import Scratch, prepare
 
 WINDOW = 32
@@ -115,9 +115,10 @@ def recipes(docs: DataFrame, scratch: Scratch, hash_bits: int = 128) -> DataFram
     return scratch.table(lists.select("doc_id", "uid", F.col("list.id").alias("recipe"), "text_sha256"))
 
 
-def exact_groups(docs: DataFrame, hash_bits: int = 128) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, n_chunks."""
-    scratch = Scratch(prepare(docs.sparkSession), "exact")
+def exact_groups(docs: DataFrame, hash_bits: int = 128, scratch: Scratch | None = None) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, n_chunks. Intermediate tables go to `scratch`."""
+    scratch = scratch or Scratch(prepare(docs.sparkSession), "exact")
+    prepare(docs.sparkSession)
     base = recipes(docs, scratch, hash_bits)
     # Written first, so that the join has exchanges of its own, whose hot recipes can be split.
     best = scratch.table(base.groupBy("recipe").agg(F.max(F.struct("doc_id", "uid")).alias("best"), F.count(F.lit(1)).alias("group_size")))
@@ -139,11 +140,14 @@ def drop_exact(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact-drop")
-    groups = scratch.table(exact_groups(docs).select("doc_id", "kept", "text_sha256"))
+    groups = scratch.table(exact_groups(docs, scratch=scratch).select("doc_id", "kept", "text_sha256"))
+    scratch.keep(groups)
     ids = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("any_kept"))
-    left = without(docs, ids.where("not any_kept"))
+    gone = ids.where("not any_kept").select(F.col("doc_id").alias("gone"))
+    left = sealed(docs).join(gone, own("doc_id").eqNullSafe(F.col("gone")), "left_anti")
     if ids.where("n > 1").isEmpty():
-        return left
-    kept = groups.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    sha = F.sha2(F.coalesce(left["text"], F.lit("")).cast("binary"), 256)
-    return left.join(kept, left["doc_id"].eqNullSafe(kept["__id"]) & (sha == kept["__sha"]), "left_semi").withColumn("__sha", F.sha2(F.coalesce("text", F.lit("")), 256)).dropDuplicates(["doc_id", "__sha"]).drop("__sha")
+        return opened(left, docs.columns)
+    kept = groups.where("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("kept_sha")).distinct()
+    marked = left.withColumn("sha", F.sha2(F.coalesce(own("text"), F.lit("")).cast("binary"), 256))
+    found = marked.join(kept, own("doc_id").eqNullSafe(F.col("id")) & (F.col("sha") == F.col("kept_sha")), "left_semi")
+    return opened(found.withColumn("id", own("doc_id")).dropDuplicates(["id", "sha"]), docs.columns)

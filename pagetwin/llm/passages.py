@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagetwin.llm.minhash import _LOWER, mix, words_of
-from pagetwin.llm.rows import narrow
+from pagetwin.llm.rows import narrow, tidy
 from pagetwin.session import Scratch, prepare
 
 RUN_WORDS = 20
@@ -83,7 +83,7 @@ def anchors(docs: DataFrame) -> DataFrame:
             at, key = (np.concatenate([f[k] for f in found]) if found else np.zeros(0) for k in (0, 1))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(src), batch.column(1).take(src), pa.array(at.astype(np.int32)), pa.array(key.astype(np.uint64).view(np.int64))], names=["doc_id", "doc", "pos", "key"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, doc long, pos int, key long")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, doc long, pos int, key long")
 
 
 def runs(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -98,7 +98,9 @@ def runs(docs: DataFrame, scratch: Scratch) -> DataFrame:
     s = F.expr(f"filter(at, (p, i) -> i = 0 or p - get(at, i - 1) > {GRAM})")
     e = F.expr(f"transform(filter(at, (p, i) -> i = size(at) - 1 or get(at, i + 1) - p > {GRAM}), p -> p + {GRAM})")
     out = lines.select("doc", "kept", "keep_doc_id", "shift", "n", F.explode(F.arrays_zip(s.alias("s"), e.alias("e"))).alias("r"))
-    return scratch.table(out.select("doc", "kept", "keep_doc_id", "shift", F.col("r.s").alias("s"), F.col("r.e").alias("e"), "n"))
+    found = scratch.table(out.select("doc", "kept", "keep_doc_id", "shift", F.col("r.s").alias("s"), F.col("r.e").alias("e"), "n"))
+    scratch.drop(all_, firsts)
+    return found
 
 
 def edges(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -113,7 +115,7 @@ def edges(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()] * len(places), pa.int64()), pa.array([p["at"] for p in places], pa.int32()), pa.array([p["after"] for p in places], pa.bool_()), pa.array([c.tobytes() for c in cut], pa.binary())], names=["doc", "at", "after", "words"])
 
     # Equal rows give equal edges.
-    return _with(docs, lists).mapInArrow(run, "doc long, at int, after boolean, words binary").groupBy("doc", "at", "after").agg(F.first("words").alias("words"))
+    return _with(docs, lists).mapInArrow(tidy(run), "doc long, at int, after boolean, words binary").groupBy("doc", "at", "after").agg(F.first("words").alias("words"))
 
 
 def near_copies(parts: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
@@ -188,7 +190,9 @@ def cut_passages(docs: DataFrame, scratch: Scratch, run_words: int = RUN_WORDS)
             cols = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 6, (*(pa.int32(),) * 4, pa.int64(), part))]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *cols], names=["doc_id", "doc", "at", "start", "end", "n_words", "cluster_size", "parts"])
 
-    return scratch.table(texts.mapInArrow(run, f"doc_id {kind}, doc long, at int, start int, end int, n_words int, cluster_size long, parts array<struct<kept:long,keep_doc_id:{kind},start:int,end:int>>"))
+    out = scratch.table(texts.mapInArrow(tidy(run), f"doc_id {kind}, doc long, at int, start int, end int, n_words int, cluster_size long, parts array<struct<kept:long,keep_doc_id:{kind},start:int,end:int>>"))
+    scratch.keep(out)
+    return out
 
 
 def repeated_passages(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
@@ -219,6 +223,6 @@ def repeated_passages(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
             cols = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, (*(pa.int32(),) * 4, pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(src, pa.int64())), *cols], names=["doc_id", "paragraph", "start", "end", "n_words", "cluster_size"])
 
-    stay = texts.mapInArrow(run, f"doc_id {kind}, paragraph int, start int, end int, n_words int, cluster_size long")
+    stay = texts.mapInArrow(tidy(run), f"doc_id {kind}, paragraph int, start int, end int, n_words int, cluster_size long")
     stay = stay.withColumn("keep_doc_id", F.col("doc_id")).withColumn("keep_paragraph", F.col("paragraph")).withColumn("removed", F.lit(False))
     return gone.unionByName(stay)
