@@ -87,18 +87,23 @@ def anchors(docs: DataFrame) -> DataFrame:
 
 
 def runs(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc, kept, keep_doc_id, shift, s, e, n): the words s to e of `doc` stand `shift` words earlier in `kept`."""
+    """(doc, kept, keep_doc_id, from, to, shifts, n): the words from-to of `kept` stand in `doc` too, as many words later as each of `shifts` says."""
     all_ = scratch.table(anchors(docs))
     # Written first, so that the join has exchanges of its own, whose hot anchors can be split.
     firsts = scratch.table(all_.groupBy("key").agg(F.min(F.struct("doc_id", "doc", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     hits = all_.select("doc", "pos", "key").join(firsts, "key").where(f"doc <> first.doc or pos - first.pos >= {GRAM}")
-    shift = (F.col("pos") - F.col("first.pos")).alias("shift")
-    lines = hits.groupBy("doc", F.col("first.doc").alias("kept"), shift).agg(F.first("first.doc_id").alias("keep_doc_id"), F.sort_array(F.collect_set("pos")).alias("at"), F.max("n").alias("n"))
-    # Anchors that touch or overlap are one run.
-    s = F.expr(f"filter(at, (p, i) -> i = 0 or p - get(at, i - 1) > {GRAM})")
-    e = F.expr(f"transform(filter(at, (p, i) -> i = size(at) - 1 or get(at, i + 1) - p > {GRAM}), p -> p + {GRAM})")
-    out = lines.select("doc", "kept", "keep_doc_id", "shift", "n", F.explode(F.arrays_zip(s.alias("s"), e.alias("e"))).alias("r"))
-    found = scratch.table(out.select("doc", "kept", "keep_doc_id", "shift", F.col("r.s").alias("s"), F.col("r.e").alias("e"), "n"))
+    anchor = F.struct((F.col("pos") - F.col("first.pos")).alias("shift"), "pos", "n")
+    pairs = hits.groupBy("doc", F.col("first.doc").alias("kept")).agg(F.first("first.doc_id").alias("keep_doc_id"), F.array_sort(F.collect_set(anchor)).alias("at"))
+    # Anchors of one shift that touch or overlap are a run. Runs that repeat one stretch are a row: text that repeats itself has many.
+    last = lambda at, of: f"coalesce(get({at}, k + 1), size({of})) - 1"
+    most = lambda of, to: f"array_max(transform(slice({of}, i + 1, {to} - i + 1), x -> x.n))"
+    pairs = pairs.withColumn("b", F.expr(f"filter(sequence(0, size(at) - 1), i -> i = 0 or at[i].shift <> at[i - 1].shift or at[i].pos - at[i - 1].pos > {GRAM})"))
+    to = last("b", "at")
+    pairs = pairs.withColumn("r", F.array_sort(F.expr(f"transform(b, (i, k) -> struct(at[i].pos - at[i].shift as from, at[{to}].pos + {GRAM} - at[i].shift as to, at[i].shift as shift, {most('at', to)} as n))")))
+    pairs = pairs.withColumn("c", F.expr("filter(sequence(0, size(r) - 1), i -> i = 0 or r[i].from <> r[i - 1].from or r[i].to <> r[i - 1].to)"))
+    to = last("c", "r")
+    spans = F.expr(f"transform(c, (i, k) -> struct(r[i].from as from, r[i].to as to, transform(slice(r, i + 1, {to} - i + 1), x -> x.shift) as shifts, {most('r', to)} as n))")
+    found = scratch.table(pairs.select("doc", "kept", "keep_doc_id", F.explode(spans).alias("x")).select("doc", "kept", "keep_doc_id", "x.*"))
     scratch.drop(all_, firsts)
     return found
 
@@ -140,17 +145,21 @@ def near_copies(parts: list[tuple[int, int, int]]) -> list[tuple[int, int, int,
 def passages_of(h, n: int, found: list[dict], run_words: int) -> list[tuple[int, int, int, list]]:
     """(start, end, places, [(kept, keep_doc_id, start there, end there)]) in words of a text of n words with hashes h(k)."""
     by: dict[int, list] = {}
+    sizes = []
     for r in found:
-        s, e = r["s"], r["e"]
-        before, after = np.frombuffer(r["before"], np.uint64).tolist(), np.frombuffer(r["after"], np.uint64).tolist()
-        while before and s and h(s - 1) == before[-1]:
-            before.pop()
-            s -= 1
-        for w in after:
-            if e == n or h(e) != w:
-                break
-            e += 1
-        by.setdefault(r["kept"], []).append((s, e, r["shift"]))
+        before, after = np.frombuffer(r["before"], np.uint64).tolist()[::-1], np.frombuffer(r["after"], np.uint64).tolist()
+        for shift in r["shifts"]:
+            s, e = r["from"] + shift, r["to"] + shift
+            sizes.append((s, r["n"]))
+            for w in before:
+                if not s or h(s - 1) != w:
+                    break
+                s -= 1
+            for w in after:
+                if e == n or h(e) != w:
+                    break
+                e += 1
+            by.setdefault(r["kept"], []).append((s, e, shift))
     ids = {r["kept"]: r["keep_doc_id"] for r in found}
     out: list = []
     for a, b, c, d, kept in sorted((*p, kept) for kept, parts in by.items() for p in near_copies(parts)):
@@ -159,19 +168,18 @@ def passages_of(h, n: int, found: list[dict], run_words: int) -> list[tuple[int,
         else:
             out.append([a, b, []])
         out[-1][2].append((kept, ids[kept], c, d))
-    return [(a, b, max(r["n"] for r in found if a <= r["s"] < b), parts) for a, b, parts in out if b - a >= run_words]
+    return [(a, b, max(k for s, k in sizes if a <= s < b), parts) for a, b, parts in out if b - a >= run_words]
 
 
 def cut_passages(docs: DataFrame, scratch: Scratch, run_words: int = RUN_WORDS) -> DataFrame:
     """(doc_id, doc, at, start, end, n_words, cluster_size, parts) of what is cut; start and end count code points, `at` words."""
     prepare(docs.sparkSession)
     found = runs(docs, scratch)
-    ends = found.select(F.col("kept").alias("doc"), F.explode(F.array(F.struct((F.col("s") - F.col("shift")).alias("at"), F.lit(False).alias("after")), F.struct((F.col("e") - F.col("shift")).alias("at"), F.lit(True).alias("after")))).alias("x"))
+    ends = found.select(F.col("kept").alias("doc"), F.explode(F.array(F.struct(F.col("from").alias("at"), F.lit(False).alias("after")), F.struct(F.col("to").alias("at"), F.lit(True).alias("after")))).alias("x"))
     known = scratch.table(edges(docs, scratch.table(ends.select("doc", "x.at", "x.after").distinct())))
-    side = lambda after, name: known.where(F.col("after") == after).select(F.col("doc").alias("kept"), F.col("at").alias(f"{name}_at"), F.col("words").alias(name))
-    placed = found.withColumn("before_at", F.col("s") - F.col("shift")).withColumn("after_at", F.col("e") - F.col("shift"))
-    full = placed.join(side(False, "before"), ["kept", "before_at"]).join(side(True, "after"), ["kept", "after_at"])
-    lists = scratch.table(full.groupBy("doc").agg(F.collect_list(F.struct("kept", "keep_doc_id", "shift", "s", "e", "n", "before", "after")).alias("list")))
+    side = lambda after, name, words: known.where(F.col("after") == after).select(F.col("doc").alias("kept"), F.col("at").alias(name), F.col("words").alias(words))
+    full = found.join(side(False, "from", "before"), ["kept", "from"]).join(side(True, "to", "after"), ["kept", "to"])
+    lists = scratch.table(full.groupBy("doc").agg(F.collect_list(F.struct("kept", "keep_doc_id", "from", "to", "shifts", "n", "before", "after")).alias("list")))
     texts = _with(docs, lists)
     kind = texts.schema["doc_id"].dataType.simpleString()
 
