@@ -6,9 +6,10 @@
 3. Units that share a band key are candidates. Inside a key, similarity is estimated from the packed
    bits (bit counts, corrected for chance agreement), and what may reach the threshold is linked. Keys
    with very many units are not estimated: all of their units are linked, natively.
-4. Linked candidates make clusters. All links within a cluster are confirmed on full sets; a cluster
-   of more than CLUSTER_SHINGLES shingles is compared in pairs of blocks. Only a spanning star of each
-   block's components leaves a task, never all pairs.
+4. Linked candidates make clusters. All links within a cluster are confirmed on full sets. A cluster of
+   more than CLUSTER_SHINGLES shingles or CLUSTER_UNITS units is dealt out in blocks: first every unit is
+   compared with PIVOTS of its cluster, then what is not in the largest component so far with all units.
+   Only spanning edges of a task's components leave it, never all pairs.
 5. Components of the confirmed links are the result.
 
 A pair at the threshold misses every band with a probability of at most MISS.
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagetwin.llm.graph import components
-from pagetwin.llm.rows import narrow
+from pagetwin.llm.rows import narrow, opened, own, sealed, tidy
 from pagetwin.session import Scratch, prepare
 
 MISS = 1e-6
@@ -43,7 +44,10 @@ MISS = 1e-6
 KEY_UNITS = 1024
 #: Share of all units from which a band key is handled natively; so there are at most minima / share of them.
 HOT_SHARE, HOT_LEAST = 1e-4, 50_000
-CLUSTER_SHINGLES = 400_000
+#: What one task compares of a cluster at most, unless a single unit is larger.
+CLUSTER_SHINGLES, CLUSTER_UNITS = 24_000, 128
+#: Units of a large cluster that all others are compared with first; shingles and units of a block of what is left after that.
+PIVOTS, BLOCK_SHINGLES, BLOCK_UNITS = 16, 200_000, 512
 #: Classes with candidates that are broadcast at most; beyond, the join is shuffled.
 BROADCAST_UNITS = 400_000
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -236,7 +240,7 @@ def sketch(docs: DataFrame, spec: Spec) -> DataFrame:
                 where = pa.array(at, mask=at < 0)
                 yield pa.RecordBatch.from_arrays([*cols, *m, _lists(bits).take(where), _lists(keys).take(where)], names=["doc_id", "text_hash", "uid", "pos", "start", "end", "n_words", "n_shingles", "s1", "s2", "bits", "bands"])
 
-    out = rows.mapInArrow(run, f"doc_id {kind}, text_hash long, {_SKETCH}")
+    out = rows.mapInArrow(tidy(run), f"doc_id {kind}, text_hash long, {_SKETCH}")
     # Units get ids of their own; the caller writes them down before they are used twice.
     return out.withColumnRenamed("uid", "row").withColumn("uid", F.monotonically_increasing_id())
 
@@ -336,7 +340,7 @@ def candidate_links(reps: DataFrame, spec: Spec, scratch: Scratch) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, spec: Spec) -> DataFrame:
-    """(rep, cluster, blocks, set) for the units in `wanted` (doc_id, text_hash, pos, rep, cluster, blocks), from a second scan of the texts."""
+    """(rep, cluster, blocks, set: hashes as bytes) for the units in `wanted` (doc_id, text_hash, pos, rep, cluster, blocks), from a second scan of the texts."""
     few = wanted.count() <= BROADCAST_UNITS
     lists = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("pos", "rep", "cluster", "blocks")).alias("units"))
     lists = lists.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "units")
@@ -351,11 +355,12 @@ def full_sets(docs: DataFrame, wanted: DataFrame, spec: Spec) -> DataFrame:
                 rows = [(u, s.tobytes()) for (u, _), s in zip(found, shingle_sets([w for _, w in found], spec.words))]
                 yield pa.RecordBatch.from_arrays([*(pa.array([u[c] for u, _ in rows], pa.int64()) for c in ("rep", "cluster", "blocks")), pa.array([s for _, s in rows], pa.binary())], names=["rep", "cluster", "blocks", "set"])
 
-    return found.mapInArrow(run, "rep long, cluster long, blocks long, set binary")
+    return found.mapInArrow(tidy(run), "rep long, cluster long, blocks long, set binary")
 
 
-def confirm(ids: list[int], sets: list[np.ndarray], spec: Spec) -> list[tuple[int, int]]:
-    """Star edges of the components that exact links make among the sets."""
+def confirm(ids: list[int], sets: list[np.ndarray], spec: Spec, labels: list[int] | None = None) -> list[tuple[int, int]]:
+    """Edges that join the components which exact links make among the sets; sets of equal labels are known to be linked."""
+    group = np.unique(labels, return_inverse=True)[1] if labels else np.arange(len(sets))
     values, flat = np.unique(np.concatenate(sets), return_inverse=True)
     size = np.array([len(s) for s in sets])
     first = np.concatenate([[0], np.cumsum(size)])
@@ -363,8 +368,8 @@ def confirm(ids: list[int], sets: list[np.ndarray], spec: Spec) -> list[tuple[in
     left, edges = np.arange(len(sets)), []
     while len(left):
         head = int(left[0])
-        left = left[1:]
-        todo = [head]
+        mine = group[left] == group[head]
+        todo, left = left[mine].tolist(), left[~mine]
         while todo and len(left):
             u = todo.pop()
             # Sizes alone rule many out: a link needs den * smaller >= num * larger.
@@ -381,43 +386,113 @@ def confirm(ids: list[int], sets: list[np.ndarray], spec: Spec) -> list[tuple[in
             flag[mine] = False
             near = some[spec.den * counts >= spec.num * (size[u] + size[some] - counts)]
             edges += [(ids[head], ids[int(x)]) for x in near]
-            todo += near.tolist()
-            left = np.setdiff1d(left, near, assume_unique=True)
+            if len(near):
+                mine = np.isin(group[left], group[near])
+                todo += left[mine].tolist()
+                left = left[~mine]
     return edges
 
 
-def confirmed_links(sets: DataFrame, spec: Spec) -> DataFrame:
-    """Edges (a, b) whose closure is that of all exact links inside each cluster."""
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks"))
-    both = F.expr("transform(filter(sequence(0L, blocks - 1), j -> j <> block), j -> struct(least(block, j) as i, greatest(block, j) as j))")
-    keyed = sets.withColumn("block", block).withColumn("key", F.explode(F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))).otherwise(both)))
-    dealt = keyed.select("cluster", F.col("key.i").alias("i"), F.col("key.j").alias("j"), "rep", "set").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+_PAIRS = "a long, b long"
+
+
+def _edges(out: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, sets, out = None, [], [], []
 
-        def flush():
-            if len(set(ids)) > 1:
-                out.extend(confirm(ids, sets, spec))
+def by_group(rows: DataFrame, keys: list[str], kernel) -> DataFrame:
+    """Edges that `kernel` finds in each group of rows (keys, rep, set, mark): kernel(reps, sets, marks). Groups stand in one task each."""
+    dealt = rows.select(*keys, "rep", "set", "mark").repartition(*keys).sortWithinPartitions(*keys)
+    n = len(keys)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, out = None, [], []
         for batch in batches:
-            for c, i, j, r, s in zip(*(col.to_pylist() for col in batch.columns)):
-                if (c, i, j) != key:
-                    flush()
-                    key, ids, sets = (c, i, j), [], []
-                ids.append(r)
-                sets.append(np.frombuffer(s, np.uint64))
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:n] != key:
+                    if len(held) > 1:
+                        out += kernel(*zip(*held))
+                    key, held = row[:n], []
+                held.append((row[n], np.frombuffer(row[n + 1], np.uint64), row[n + 2]))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+                yield _edges(out)
                 out = []
-        flush()
-        yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        if len(held) > 1:
+            out += kernel(*zip(*held))
+        yield _edges(out)
+
+    return dealt.mapInArrow(tidy(run), _PAIRS)
 
-    return dealt.mapInArrow(run, "a long, b long")
+
+def small_links(sets: DataFrame, spec: Spec) -> DataFrame:
+    """Edges inside clusters that fit into a task each."""
+    return by_group(sets.withColumn("mark", F.lit(0).cast("long")), ["cluster"], lambda ids, units, _: confirm(list(ids), list(units), spec))
+
+
+def pivot_links(ids, units, is_pivot, spec: Spec) -> list[tuple[int, int]]:
+    """Edges between pivots and the units that they are linked with."""
+    pivots = {i: u for i, u, p in zip(ids, units, is_pivot) if p}
+    out = []
+    for i, u, p in zip(ids, units, is_pivot):
+        if p:
+            continue
+        for k, v in pivots.items():
+            lo, hi = sorted((len(u), len(v)))
+            if k == i or spec.den * lo < spec.num * hi:
+                continue
+            at = np.searchsorted(v, u)
+            both = int((v[np.minimum(at, len(v) - 1)] == u).sum())
+            if spec.den * both >= spec.num * (len(u) + len(v) - both):
+                out.append((k, i))
+    return out
+
+
+def hubs(large: DataFrame, reps: DataFrame, scratch: Scratch) -> DataFrame:
+    """(rep) of up to PIVOTS units of each cluster, those that share band keys with most others: a text that many edit is one."""
+    keys = scratch.table(large.select("cluster", "rep").join(reps.select("rep", F.explode("bands").alias("key")), "rep"))
+    often = scratch.table(keys.groupBy("cluster", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    few = often.count() <= BROADCAST_UNITS
+    degree = keys.join(F.broadcast(often) if few else often, ["cluster", "key"]).groupBy("cluster", "rep").agg(F.sum("n").alias("n"))
+    return scratch.table(degree.groupBy("cluster", F.pmod(F.xxhash64(F.lit(5), "rep"), F.lit(PIVOTS)).alias("k")).agg(F.max_by("rep", F.struct("n", "rep")).alias("rep")).select("rep"))
+
+
+def large_links(sets: DataFrame, pivots: DataFrame, spec: Spec, scratch: Scratch) -> DataFrame:
+    """Edges inside clusters that are dealt over `blocks` tasks each.
+
+    Pivots are sent to all blocks of their cluster. What they do not join to the largest component is then
+    compared with all units of the cluster, in pairs of blocks. Where few are left, both steps are linear in
+    the cluster; where most are, each unit is sent once for every BLOCK_SHINGLES shingles that are left.
+    """
+    all_ = scratch.table(sets)
+    every = F.explode(F.expr("sequence(0L, blocks - 1)"))
+    yes, no = F.lit(1).cast("long"), F.lit(0).cast("long")
+    pivots = all_.join(pivots, "rep", "left_semi").select("cluster", every.alias("block"), "rep", "set", yes.alias("mark"))
+    units = all_.select("cluster", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"), "rep", "set", no.alias("mark"))
+    first = scratch.table(by_group(units.unionByName(pivots), ["cluster", "block"], lambda i, u, p: pivot_links(i, u, p, spec)))
+    joined = components(first, scratch).select(F.col("node").alias("rep"), F.col("root").alias("mark"))
+    marked = scratch.table(all_.select("rep", "cluster", (F.octet_length("set") / 8).alias("n")).join(joined, "rep", "left").withColumn("mark", F.coalesce("mark", "rep")))
+    sizes = marked.groupBy("cluster", "mark").agg(F.count(F.lit(1)).alias("n_units"), F.sum("n").alias("n"))
+    main = sizes.groupBy("cluster").agg(F.max_by("mark", F.struct("n_units", "mark")).alias("main"), F.sum("n").alias("n_all"), F.max_by("n", F.struct("n_units", "mark")).alias("n_main"), F.sum("n_units").alias("all"), F.max("n_units").alias("most"))
+    parts = lambda n, units: F.greatest(F.lit(1), F.ceil(n / BLOCK_SHINGLES), F.ceil(units / BLOCK_UNITS)).cast("long")
+    main = scratch.table(main.where("all > most").select("cluster", "main", parts(F.col("n_all") - F.col("n_main"), F.col("all") - F.col("most")).alias("rows"), parts(F.col("n_all"), F.col("all")).alias("cols")))
+    if main.isEmpty():
+        return first
+    small = main.count() <= BROADCAST_UNITS
+    rest = all_.drop("blocks").join(marked.select("rep", "mark"), "rep").join(F.broadcast(main) if small else main, "cluster")
+    row, col = F.pmod(F.xxhash64(F.lit(6), "rep"), F.col("rows")), F.pmod(F.xxhash64(F.lit(7), "rep"), F.col("cols"))
+    span = lambda n: F.explode(F.expr(f"sequence(0L, {n} - 1)"))
+    left = rest.where("mark <> main").select("cluster", row.alias("i"), span("cols").alias("j"), "rep", "set", "mark")
+    right = rest.select("cluster", span("rows").alias("i"), col.alias("j"), "rep", "set", "mark")
+
+    def second(ids, units, marks):
+        once = dict(zip(ids, zip(units, marks)))  # a unit may be on both sides
+        return confirm(list(once), [u for u, _ in once.values()], spec, [m for _, m in once.values()]) if len(once) > 1 else []
+
+    return first.unionByName(by_group(left.unionByName(right), ["cluster", "i", "j"], second))
 
 
 def linked_units(docs: DataFrame, spec: Spec, scratch: Scratch) -> DataFrame:
-    """Every unit with `rep` (its class) and `root` (its component); both null for units without words."""
+    """Every unit with `rep` (its class) and `root` (its component); both null for units without words. All other tables of `scratch` are deleted."""
     units = scratch.table(sketch(docs, spec))
     some = units.where("n_shingles > 0")
     classes = scratch.table(some.groupBy("s1", "s2").agg(F.min("uid").alias("rep")))
@@ -426,12 +501,18 @@ def linked_units(docs: DataFrame, spec: Spec, scratch: Scratch) -> DataFrame:
     cand = components(candidate_links(reps, spec, scratch), scratch)
     clusters = scratch.table(cand.select(F.col("node").alias("rep"), F.col("root").alias("cluster")))
     sized = reps.select("rep", "doc_id", "text_hash", "pos", "n_shingles").join(clusters, "rep")
-    weights = sized.groupBy("cluster").agg(F.sum("n_shingles").alias("w"))
-    blocks = F.when(F.col("w") <= CLUSTER_SHINGLES, F.lit(1)).otherwise(F.ceil(F.col("w") * 2 / CLUSTER_SHINGLES)).cast("long")
+    weights = sized.groupBy("cluster").agg(F.sum("n_shingles").alias("w"), F.count(F.lit(1)).alias("n"))
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("w") / CLUSTER_SHINGLES), F.ceil(F.col("n") / CLUSTER_UNITS)).cast("long")
     wanted = scratch.table(sized.join(weights.select("cluster", blocks.alias("blocks")), "cluster"))
-    links = components(confirmed_links(full_sets(docs, wanted, spec), spec), scratch)
-    roots = classes.join(links.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    return units.drop("bits", "bands").join(roots, ["s1", "s2"], "left")
+    links = scratch.table(small_links(full_sets(docs, wanted.where("blocks = 1"), spec), spec))
+    large = wanted.where("blocks > 1")
+    if not large.isEmpty():
+        links = links.unionByName(large_links(full_sets(docs, large, spec), hubs(large, reps, scratch), spec, scratch))
+    roots = components(links, scratch).select(F.col("node").alias("rep"), "root")
+    named = classes.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    out = scratch.table(units.drop("bits", "bands").join(named, ["s1", "s2"], "left"))
+    scratch.keep(out)
+    return out
 
 
 def near_duplicates(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
@@ -449,6 +530,8 @@ def drop_near(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
     units = scratch.table(linked_units(docs, spec, scratch).where("root is not null").select("doc_id", "text_hash", "root"))
     # Written first, so that the join has exchanges of its own, whose hot components can be split.
     firsts = scratch.table(units.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    gone = units.join(firsts, "root").where(~F.struct("doc_id", "text_hash").eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__hash")).distinct()
+    gone = units.join(firsts, "root").where(~F.struct("doc_id", "text_hash").eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).distinct()
     gone = scratch.table(gone)
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["__hash"]), "left_anti")
+    scratch.keep(gone)
+    left = sealed(docs).join(gone, own("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64(F.coalesce(own("text"), F.lit(""))) == F.col("hash")), "left_anti")
+    return opened(left, docs.columns)

@@ -37,6 +37,16 @@ def test_fingerprints(docs, bits, monkeypatch):
     for i, t in rows:
         for j, u in rows:
             assert (got[i]["fingerprint"] == got[j]["fingerprint"]) == (canonical(t) == canonical(u)), (t, u)
+    # Edited texts keep to the same, among each other and beside documents.
+    edits = {}
+    for k, (i, t) in enumerate(rows):
+        t, nxt = t or "", rows[(k + 1) % len(rows)][1] or ""
+        n = len(t) // 4
+        edits[i] = canonical(t[: len(t) - n] + nxt[:n])
+    for i in edits:
+        for j, u in rows:
+            assert (got[i]["edited_fingerprint"] == got[j]["edited_fingerprint"]) == (edits[i] == edits[j])
+            assert (got[i]["edited_fingerprint"] == got[j]["fingerprint"]) == (edits[i] == canonical(u))
 
 
 def test_fingerprints_of_odd_tables(spark, docs):
@@ -48,7 +58,7 @@ def test_fingerprints_of_odd_tables(spark, docs):
 
 
 def test_native_plan(spark, docs):
-    plan = fingerprints._measured(exact.narrow(docs(["a", "b"])), 128, False)._jdf.queryExecution().executedPlan().toString()
+    plan = fingerprints._measured(exact.narrow(docs(["a", "b"])), 128)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
@@ -144,6 +154,8 @@ def test_near_duplicates(docs, prose, n, num, small, monkeypatch):
     if small:  # hot band keys and clusters of several blocks
         monkeypatch.setattr(minhash, "HOT_LEAST", 3)
         monkeypatch.setattr(minhash, "CLUSTER_SHINGLES", 200)
+        monkeypatch.setattr(minhash, "PIVOTS", 1)
+        monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 300)
         monkeypatch.setattr(minhash, "BROADCAST_UNITS", 0)
     texts = near_texts(prose)
     got = {r["doc_id"]: r for r in minhash.near_duplicates(docs(texts), minhash.Spec(words=n, num=num)).collect()}
