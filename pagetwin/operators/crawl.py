@@ -42,6 +42,11 @@ def served_pages(served: DataFrame, scopes: dict[str, urls.Scope], cfg: dict) ->
     return first_wins(keyed, ["site", "key"], ["path"])
 
 
+def capped(html: Column, most: int) -> Column:
+    """At most the first `most` bytes of a page; a character that is cut in two is replaced."""
+    return F.when(F.octet_length(html) <= most, html).otherwise(F.decode(F.substring(F.encode(html, "UTF-8"), 1, most), "UTF-8"))
+
+
 def first_wins(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key."""
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
@@ -68,7 +73,7 @@ def resolve_redirects(served: DataFrame, blocked: DataFrame, cfg: dict, scratch:
     left = served.select("site", F.col("key").alias("req_key"), F.col("key").alias("at"), F.lit(None).cast("string").alias("code"), F.lit(0).alias("hops"))
     done = []
     for n in range(cfg["http"]["maxRedirects"] + 1):
-        now = left.join(hop, ["site", "at"], "left").join(F.broadcast(stop), ["site", "at"], "left")
+        now = left.join(hop, ["site", "at"], "left").join(stop, ["site", "at"], "left")
         on = F.col("stop").isNull() & F.col("redirect_key").isNotNull()
         done.append(now.where(~on).select("site", "req_key", F.col("at").alias("final_key"), "code", "hops", F.col("stop").isNotNull().alias("robots"), F.when(F.col("stop").isNull() & F.col("redirect_url").isNotNull(), F.concat(F.lit("Redirects outside the site to "), "redirect_url")).alias("redirect_error")))
         left = scratch.table(now.where(on).select("site", "req_key", F.col("redirect_key").alias("at"), F.coalesce("code", "hop_code").alias("code"), F.lit(n + 1).alias("hops")))
@@ -97,7 +102,7 @@ def crawl_sites(served: DataFrame, scopes: dict[str, urls.Scope], robots: dict[s
     crawl = cfg["crawl"]
     site_pages = served_pages(served, scopes, cfg)
     on_page = F.col("redirect_to").isNull() & F.col("html").isNotNull() & (F.col("content_type").isNull() | (F.col("content_type") == "") | F.contains("content_type", F.lit("html")))
-    parsed = with_snapshots(site_pages.withColumn("html", F.when(on_page, F.substring("html", 1, cfg["http"]["maxBodyBytes"]))).withColumn("final_url", F.col("url")), scopes, cfg)
+    parsed = with_snapshots(site_pages.withColumn("html", F.when(on_page, capped(F.col("html"), cfg["http"]["maxBodyBytes"]))).withColumn("final_url", F.col("url")), scopes, cfg)
     ok = (F.col("status") >= 200) & (F.col("status") < 300)
     not_html = F.when(~on_page & ok & F.col("error").isNull() & F.col("redirect_to").isNull(), F.concat(F.lit("Not an HTML page ("), F.when(F.coalesce("content_type", F.lit("")) == "", F.lit("unknown type")).otherwise(F.col("content_type")), F.lit(")")))
     known = scratch.table(parsed.withColumn("error", F.coalesce("error", not_html)).withColumn("js_rendered", looks_js_rendered(F.col("raw"), cfg)).drop("raw", "html"))

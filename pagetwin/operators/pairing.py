@@ -24,22 +24,31 @@ def similar_pages(left: DataFrame, right: DataFrame, threshold: float, scratch:
     """All pairs (a, b, similarity) of left and right (key, full_text, title) that reach the threshold.
 
     Exact, without a cross join: shingles are put in order of rarity, and two sets can only be similar
-    enough if they share one of their first, rarest ones. A shingle that is on every page is never
-    joined on unless a page has nothing rarer.
+    enough if they share one of their first, rarest ones, and as much behind it. A shingle that is on
+    every page is never joined on unless a page has nothing rarer.
     """
-    least = max(0.01, threshold - TITLE_BOOST)
     sets = scratch.table(
         left.select(F.lit("a").alias("side"), "key", "title", "full_text").unionByName(right.select(F.lit("b").alias("side"), "key", "title", "full_text"))
         .select("side", "key", "title", F.transform(shingles(F.col("full_text")), lambda s: F.xxhash64(s)).alias("set"))
         .where(F.size("set") > 0)
     )
-    each = sets.select("side", "key", F.explode("set").alias("s"))
+    each = sets.select("side", "key", "title", F.explode("set").alias("s"))
     rarity = each.groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.count_if(F.col("side") == "a").alias("in_a"))
     # Shingles of one side only cannot be shared, but they count for the set's size.
     ranked = each.join(rarity, "s").withColumn("rank", F.row_number().over(Window.partitionBy("side", "key").orderBy("df", "s"))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("side", "key")))
-    head = ranked.where((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * least) + 1) & (F.col("in_a") > 0) & (F.col("in_a") < F.col("df"))).select("side", "key", "s", "n")
-    ha, hb = head.where("side = 'a'").select(F.col("key").alias("a"), "s", F.col("n").alias("na")), head.where("side = 'b'").select(F.col("key").alias("b"), "s", F.col("n").alias("nb"))
-    cand = ha.join(hb, "s").where(F.least("na", "nb") >= F.greatest("na", "nb") * least).select("a", "b").distinct()
+    titled = max(0.01, threshold - TITLE_BOOST)
+    prefix = lambda least: F.col("n") - F.ceil(F.col("n") * least) + 1
+    head = scratch.table(ranked.where((F.col("rank") <= prefix(titled)) & (F.col("in_a") > 0) & (F.col("in_a") < F.col("df"))).select("side", "key", "title", "s", "n", "rank", (F.col("rank") <= prefix(threshold)).alias("first")))
+
+    def sharing(rows: DataFrame, least: float, *on: str) -> DataFrame:
+        """Pairs that share a prefix shingle behind which enough others can be shared: this holds for the first one that they share."""
+        ha = rows.where("side = 'a'").select(F.col("key").alias("a"), "s", *on, F.col("n").alias("na"), F.col("rank").alias("ra"))
+        hb = rows.where("side = 'b'").select(F.col("key").alias("b"), "s", *on, F.col("n").alias("nb"), F.col("rank").alias("rb"))
+        most = F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb")) + 1
+        return ha.join(hb, ["s", *on]).where(most * (1 + least) >= (F.col("na") + F.col("nb")) * least - 1e-6).select("a", "b")
+
+    # Only pages of the same title are helped over the threshold by it, so only they are looked for below it.
+    cand = sharing(head.where("first"), threshold).union(sharing(head.where("title <> ''"), titled, "title")).distinct()
     sa, sb = (sets.where(F.col("side") == x).select(F.col("key").alias(x), F.col("set").alias(f"set_{x}"), F.col("title").alias(f"title_{x}")) for x in "ab")
     inter = F.size(F.array_intersect("set_a", "set_b"))
     sim = inter / (F.size("set_a") + F.size("set_b") - inter)

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from pagetwin.config import SIGNIFICANCE
 from pagetwin.operators.diffs import ranked
+from pagetwin.session import Scratch
 
 KIND_ORDER = {"error": 0, "only-a": 1, "only-b": 2, "compared": 3}
 
@@ -55,6 +56,19 @@ def report_order(pages: DataFrame) -> list:
     return [F.col("worst"), F.col("kind_ord"), F.col("n_diffs").desc(), F.collate("path", "UNICODE")]
 
 
+def numbered(rows: DataFrame, order: list, name: str, scratch: Scratch) -> DataFrame:
+    """`rows` with their places from 1 in `order` as `name`: ranges are sorted by themselves, and each adds the sizes of those before it."""
+    dealt = scratch.table(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    part, row = F.shiftrightunsigned("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = dealt.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()  # a row for each partition
+    before, starts = 0, []
+    for r in sizes:
+        starts.append((r["part"], before))
+        before += r["n"]
+    offsets = rows.sparkSession.createDataFrame(starts, "__part long, __before long")
+    return dealt.join(F.broadcast(offsets), part == F.col("__part")).withColumn(name, F.col("__before") + row + 1).drop("__at", "__part", "__before")
+
+
 def significance_counts(diffs: DataFrame, site_wide: DataFrame) -> DataFrame:
     """(sig, rank, n): differences of pages and site-wide ones, each of the latter once; all significances are listed."""
     spark = diffs.sparkSession

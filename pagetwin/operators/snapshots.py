@@ -30,7 +30,8 @@ def with_raw(pages: DataFrame, cfg: dict, html: str = "html", url: str = "final_
             rows.append(row and row | {"structure": list(row["structure"].items())})
         return pa.array(rows, kind)
 
-    return pages.withColumn("raw", raw(F.col(html), F.col(url)))
+    # As if it were not deterministic: the optimiser then never copies the parser into filters that it infers.
+    return pages.withColumn("raw", raw.asNondeterministic()(F.col(html), F.col(url)))
 
 
 def _colons(ddl: str) -> str:

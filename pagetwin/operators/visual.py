@@ -9,7 +9,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from pagetwin.operators import diffs as d
 from pagetwin.session import prepare
@@ -123,11 +122,16 @@ def changed_share(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
     return 100.0 * n / (h * w) if h * w else 0.0
 
 
+def first_compared(pairs: DataFrame, most: int) -> DataFrame:
+    """The first compared pairs in pairing order: each task hands on its own first ones only."""
+    return pairs.where("kind = 'compared'").orderBy("ord").limit(most)
+
+
 def visual_diffs(pairs: DataFrame, shots: DataFrame, cfg: dict) -> DataFrame:
     """Differences of category `visual` for the first compared pairs in pairing order. shots: (site, key, png, full_height, error)."""
     prepare(pairs.sparkSession)
     v = cfg["visual"]
-    first = pairs.where("kind = 'compared'").withColumn("n", F.row_number().over(Window.orderBy("ord"))).where(F.col("n") <= v["maxPages"]).select("path", "key_a", "key_b")
+    first = first_compared(pairs, v["maxPages"]).select("path", "key_a", "key_b")
     side = lambda s: shots.where(F.col("site") == s).select(F.col("key").alias(f"key_{s.lower()}"), *(F.col(c).alias(f"{c}_{s.lower()}") for c in ("png", "full_height", "error")))
 
     @F.arrow_udf("struct<pct:double,problem:string>")

@@ -10,19 +10,22 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from pagetwin.config import build_config
+from pagetwin.config import SIGNIFICANCE, build_config
 from pagetwin.functions import text as tx
 from pagetwin.functions import urls
 from pagetwin.operators import diffs as df_
-from pagetwin.operators.crawl import first_wins
-from pagetwin.operators.diffs import kth_match
-from pagetwin.operators.pairing import page_state, similar_pages
 from pagetwin.operators.assign import assign_greedy
+from pagetwin.operators.crawl import Crawl, first_wins, robots_allow, sitemap_urls
+from pagetwin.operators.diffs import kth_match
+from pagetwin.operators.pairing import page_state, pair_pages, similar_pages
+from pagetwin.operators.sitewide import consolidate, numbered, page_results, report_order, significance_counts, summary, top_per_category
 from pagetwin.operators.snapshots import snapshot, with_raw
+from pagetwin.operators.visual import first_compared
+from pagetwin.plans import planted
 from pagetwin.session import Scratch, scan
-from pagetwin.streaming.rediff import baseline, watch
+from pagetwin.sources.sites import robots_rules
+from pagetwin.streaming.rediff import baseline, title_changes, watch
 
 CFG = build_config()
 #: Tables whose rows are costly to work on.
@@ -89,6 +92,34 @@ def url_reject_reason(spark, d):
     return table(spark, d, "pages").select("page_id", urls.reject_reason(u, F.when(F.col("page_id") % 5 == 0, F.lit("other.example")).otherwise(urls.norm_host(F.col("url"))), "/", CFG).alias("reason"))
 
 
+def url_link_key(spark, d):
+    """Comparable targets: mail and phone addresses, pages of the site, other URLs."""
+    k = F.col("page_id") % 4
+    u = F.when(k == 0, F.concat(F.lit("mailto:Info%20"), F.col("page_id").cast("string"), F.lit("@X.example"))).when(k == 1, F.concat(F.lit("tel:+49"), F.col("page_id").cast("string"))).otherwise(F.col("url"))
+    host = F.when(k == 2, urls.norm_host(F.col("url"))).otherwise(F.lit("none.example"))
+    found = urls.link_key(u, host, "/", CFG)
+    return table(spark, d, "pages").select("page_id", found.alias("link_key"), urls.show_target(found).alias("shown"))
+
+
+def url_of_key(spark, d):
+    scope = urls.create_scope("https://www.Shop.example:443/v2/index.html", CFG)
+    return table(spark, d, "pages").select("page_id", urls.key_to_url(key(), scope).alias("at"), F.lit(scope.host).alias("host"), F.lit(scope.base_path).alias("base"))
+
+
+def robots_paths(spark, d):
+    """What a robots.txt lets through: the longest rule decides."""
+    rules, _, _ = robots_rules("User-agent: *\nDisallow: /en/\nAllow: /en/1\nDisallow: /*9$\nDisallow: /f # French\n")
+    return table(spark, d, "pages").select("page_id", robots_allow(urls.path(F.col("url")), rules).alias("allowed"))
+
+
+def sitemap_locations(spark, d):
+    """Locations of sitemaps, one for each ten parts."""
+    loc = F.concat(F.lit("<url><loc>"), F.when(F.col("p_partkey") % 2 == 0, F.lit(" <![CDATA[https://a.example/p?k=")).otherwise(F.lit("https://a.example/p?x=1&amp;k=")), F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 2 == 0, F.lit("]]> ")).otherwise(F.lit("")), F.lit("</loc></url>"))
+    maps = table(spark, d, "part").groupBy(F.floor(F.col("p_partkey") / 10).alias("n")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", loc.alias("loc")))), lambda x: x["loc"]), "").alias("locs"))
+    xml = F.when(F.col("n") % 3 == 0, F.concat(F.lit("<nothing>"), "locs")).otherwise(F.concat(F.lit("<?xml version='1.0'?><urlset>"), "locs", F.lit("</urlset>")))
+    return maps.select("n", F.posexplode(sitemap_urls(xml)).alias("ord", "url"))
+
+
 def image_keys(spark, d):
     u = F.concat(F.lit("https://x.example/img/Part-"), F.col("p_partkey").cast("string"), F.element_at(F.array(*map(F.lit, ["-800x600", ".a1b2c3d4", "@2x", ""])), (F.col("p_size") % 4 + 1)), F.lit(".PNG"))
     return table(spark, d, "part").select("p_partkey", urls.image_key(u, CFG).alias("image_key"))
@@ -151,9 +182,22 @@ def mask_hex_token(spark, d):
 
 
 def value_significance(spark, d):
-    """Three-form comparison of each conversation turn with the one before it."""
-    turns = table(spark, d, "conversations").select("conv_id", "turn", tx.value(F.col("text"), CFG).alias("v")).withColumn("before", F.lag("v").over(Window.partitionBy("conv_id").orderBy("turn")))
-    return turns.where("before is not null").select("conv_id", "turn", F.coalesce(df_.value_sig(F.col("before"), F.col("v")), F.lit("same")).alias("sig"))
+    """Three-form comparison of an event's description before and after."""
+    k = F.col("event_id") % 6
+    day, clock = F.date_format("ts", "yyyy-MM-dd"), F.date_format("ts", "HH:mm:ss")
+    before = F.when(k == 4, F.lit("")).otherwise(F.concat(F.lit("User "), F.col("user_id").cast("string"), F.lit(" came on "), day))
+    other = F.lit("2031-05-06")
+    after = (
+        F.when(k == 0, F.concat(F.lit("USER "), F.col("user_id").cast("string"), F.lit(" came on "), other, F.lit("!")))
+        .when(k == 1, F.concat(F.lit("User "), (F.col("user_id") + 1).cast("string"), F.lit(" came on "), day))
+        .when(k == 2, F.concat(F.lit("User  "), F.col("user_id").cast("string"), F.lit("\u00a0came on "), day))
+        .when(k == 3, F.lit(""))
+        .otherwise(F.concat(F.lit("User "), F.col("user_id").cast("string"), F.lit(" came on "), day))
+    )
+    # Times of day are masked altogether, so k = 5 is the same on both sides.
+    before, after = F.when(k == 5, F.concat(F.lit("At "), day, F.lit(" "), clock)).otherwise(before), F.when(k == 5, F.lit("At 2020-01-01 00:00:01")).otherwise(after)
+    v = lambda c: tx.value(c, CFG)
+    return table(spark, d, "events").select("event_id", F.coalesce(df_.value_sig(v(before), v(after)), F.lit("same")).alias("sig"))
 
 
 def text_tokens(spark, d):
@@ -190,12 +234,18 @@ def shingle_jaccard(spark, d):
     return similar_pages(a, b, 0.6, Scratch(spark, "q-jaccard")).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
+def page_similarity(spark, d):
+    """Similar even and odd documents as pages with titles; equal titles help by 0.15."""
+    halves = [h.withColumn("title", F.element_at(F.array(*map(F.lit, ["", "One", "Two"])), (F.floor(F.col("key") / 2) % 3 + 1).cast("int"))) for h in _text_halves(spark, d)]
+    return similar_pages(*halves, 0.6, Scratch(spark, "q-titles")).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
 def pair_moved(spark, d):
     """Even and odd documents matched one to one by content."""
     scratch = Scratch(spark, "q-moved")
     a, b = _text_halves(spark, d)
     edges = similar_pages(a, b, 0.6, scratch)
-    return assign_greedy(edges, [(-F.col("similarity")).alias("s"), "a", "b"], scratch).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return assign_greedy(edges, [(-F.round("similarity", 9)).alias("s"), "a", "b"], scratch).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 # ---- pairing
@@ -212,24 +262,25 @@ def page_states(spark, d):
     return table(spark, d, "pages").select("page_id", page_state(status, error, F.col("html").isNotNull()).alias("state"))
 
 
+def _paired(spark, d) -> DataFrame:
+    """The pages table through the matching of pages, as if a crawl had found them in the order of page_id."""
+    none = lambda ddl: spark.createDataFrame([], ddl)
+    title = F.struct(F.struct(F.struct(F.lit("").alias("norm")).alias("title")).alias("meta"))
+    pages = first_pages(spark, d).select("site", "key", F.lit(200).alias("status"), F.lit(None).cast("string").alias("error"), title.alias("snap"), F.lit("").alias("full_text"), F.lit(False).alias("probed"), F.col("page_id").alias("crawl_ord"))
+    limits = spark.createDataFrame([("A", None), ("B", None)], "site string, unreachable string")
+    return pair_pages(Crawl(pages, none("site string, req_key string, final_key string, code string"), none("site string, key string"), none("site string, url string, reason string"), limits), CFG)
+
+
 def pair_same_path(spark, d):
-    a, b = sides(first_pages(spark, d))
-    return a.select("key", F.col("page_id").alias("page_a")).join(b.select("key", F.col("page_id").alias("page_b")), "key").withColumnRenamed("key", "path")
+    return _paired(spark, d).where("match = 'same-path'").select("path", "key_a", "key_b", "kind")
 
 
 def pair_url_variant(spark, d):
-    pages = first_pages(spark, d)
-    a, b = sides(pages)
-    left = a.join(b.select("key"), "key", "left_anti").withColumn("loose", urls.loose_key(F.col("key")))
-    right = b.join(a.select("key"), "key", "left_anti").withColumn("loose", urls.loose_key(F.col("key")))
-    fa, fb = (first_wins(x, ["loose"], ["page_id"]) for x in (left, right))
-    return fa.select("loose", F.col("key").alias("key_a")).join(fb.select("loose", F.col("key").alias("key_b")), "loose").select("key_a", "key_b")
+    return _paired(spark, d).where("match = 'url-variant'").select("key_a", "key_b")
 
 
 def pair_one_sided(spark, d):
-    a, b = sides(first_pages(spark, d).withColumn("loose", urls.loose_key(F.col("key"))))
-    only = lambda x, y, kind: x.join(y.select("loose"), "loose", "left_anti").select(F.col("key").alias("path"), F.lit(kind).alias("kind"))
-    return only(a, b, "only-a").unionByName(only(b, a, "only-b"))
+    return _paired(spark, d).where("match = 'none'").select("path", "kind")
 
 
 # ---- extraction
@@ -250,7 +301,8 @@ def extract_title_h1_lang(spark, d):
 
 def extract_nav_links(spark, d):
     raw = with_raw(table(spark, d, "pages").withColumnRenamed("url", "final_url"), CFG)
-    return raw.select("page_id", F.posexplode("raw.links").alias("ord", "l")).select("page_id", "ord", F.regexp_replace("l.href", "^[^:]+://[^/]*", "").alias("target"), F.col("l.text").alias("label"))
+    links = raw.select("page_id", F.posexplode("raw.links").alias("ord", "l"))
+    return links.select("page_id", "ord", F.try_url_decode(F.regexp_replace("l.href", "^[^:]+://[^/]*", "")).alias("target"), F.col("l.text").alias("label"))
 
 
 def extract_structure(spark, d):
@@ -266,40 +318,38 @@ def extract_blocks(spark, d):
 # ---- differences
 
 
-def _pairs(spark, d) -> DataFrame:
-    a, b = sides(_snapshots(spark, d))
-    return a.select(F.col("key").alias("path"), F.col("snap").alias("snap_a")).join(b.select(F.col("key").alias("path"), F.col("snap").alias("snap_b")), "path")
+def _both(spark, d) -> DataFrame:
+    """First pages (with their HTML) of the keys that both sites have: only these are parsed."""
+    firsts = Scratch(spark, "q-both").table(first_pages(spark, d, "html").withColumnRenamed("url", "final_url"))
+    common = firsts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("key")
+    return scan_wide(firsts.join(common, "key"))
 
 
-def meta_diff_title(spark, d):
-    p = _pairs(spark, d)
-    return p.select("path", F.coalesce(df_.value_sig(F.col("snap_a.meta.title"), F.col("snap_b.meta.title")), F.lit("same")).alias("sig"))
+def scan_wide(rows: DataFrame) -> DataFrame:
+    """Few rows that are costly to work on, dealt over all cores."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
 
 
-def _nav(spark, d) -> DataFrame:
-    """(site, key, target) of the links of each first page, without the parser."""
-    pages = first_pages(spark, d, "html")
-    return pages.select("site", "key", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)">'), F.lit(1))).alias("target")).distinct()
+def _pairs(spark, d, *fields: str) -> DataFrame:
+    """path, snap_a, snap_b of same-path pages; of the snapshots only `fields` are made, if any are named."""
+    snap = snapshot(F.col("raw"), urls.norm_host(F.col("final_url")), "/", CFG)
+    made = F.struct(*(snap[f].alias(f) for f in fields)) if fields else snap
+    a, b = sides(with_raw(_both(spark, d), CFG).select("site", F.col("key").alias("path"), made.alias("snap")))
+    return a.withColumnRenamed("snap", "snap_a").join(b.withColumnRenamed("snap", "snap_b"), "path")
 
 
-def link_set_diff(spark, d):
-    nav = _nav(spark, d)
-    both = pair_same_path(spark, d).select(F.col("path").alias("key"))
-    a, b = (nav.where(F.col("site") == s).drop("site").join(both, "key").withColumn(f"on_{s}", F.lit(True)) for s in "AB")
-    out = a.join(b, ["key", "target"], "full_outer")
-    sig = F.when(F.col("on_B").isNull(), F.lit("missing")).when(F.col("on_A").isNull(), F.lit("added"))
-    return out.select(F.col("key").alias("path"), "target", sig.alias("sig")).where("sig is not null")
+def meta_diff_title(spark, d):
+    titles = with_raw(_both(spark, d), CFG).select("site", F.col("key").alias("path"), tx.value(F.col("raw.title"), CFG).alias("title"))
+    a, b = sides(titles)
+    return a.join(b.withColumnRenamed("title", "title_b"), "path").select("path", F.coalesce(df_.value_sig(F.col("title"), F.col("title_b")), F.lit("same")).alias("sig"))
 
 
-def link_broken(spark, d):
-    """Links whose target is broken on B only, by a recorded status of each target."""
-    both = pair_same_path(spark, d).select(F.col("path").alias("key"))
-    nav = _nav(spark, d).join(both, "key")
-    status = lambda n: F.when(F.length("target") % n == 0, F.lit(404)).otherwise(F.lit(200))
-    none = F.lit(None).cast("string")
-    marked = nav.withColumn("bad", F.when(F.col("site") == "A", df_.broken(status(5), none, F.lit(False))).otherwise(df_.broken(status(3), none, F.lit(False))))
-    a, b = (marked.where(F.col("site") == s).select("key", "target", F.col("bad").alias(f"bad_{s.lower()}")) for s in "AB")
-    return b.where("bad_b").join(a, ["key", "target"], "left").where("not coalesce(bad_a, false)").select(F.col("key").alias("path"), "target", F.col("bad_a").isNotNull().alias("on_both"))
+def link_set_diff(spark, d):
+    """Links that same-path pages have on one side only."""
+    none = spark.createDataFrame([], "key_a string, key_b string")
+    statuses = spark.createDataFrame([], "site string, key string, status int, error string, robots boolean")
+    found = df_.link_diffs(_pairs(spark, d, "links"), none, statuses, urls.Scope("", "", "", "/"), CFG, "A")
+    return found.select("path", "sig", "title", F.array_join("a", " ").alias("a"), F.array_join("b", " ").alias("b"))
 
 
 def text_set_diff(spark, d):
@@ -340,6 +390,16 @@ def diff_all_categories(spark, d):
     return reduce(DataFrame.unionByName, parts).select("path", "category", "sig", "title", F.array_join("a", " / ").alias("a"), F.array_join("b", " / ").alias("b"))
 
 
+def stream_title_changes(spark, d):
+    """Titles of site B's pages, which arrive as a stream, against site A's."""
+    pages = table(spark, d, "pages")
+    scratch = Scratch(spark, "q-titles-stream")
+    arriving = spark.readStream.schema(pages.schema).parquet(f"{d}/[p]ages.parquet").where("page_id % 2 = 1")
+    changes = title_changes(arriving, scratch.table(baseline(pages.where("page_id % 2 = 0"), CFG)), CFG)
+    changes.writeStream.format("parquet").option("path", f"{scratch.root}/out").option("checkpointLocation", f"{scratch.root}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("key string, url string, sig string").parquet(f"{scratch.root}/out")
+
+
 def stream_rediff(spark, d):
     """Site B's pages arrive as a stream and are compared with site A's, batch by batch."""
     pages = table(spark, d, "pages")
@@ -350,59 +410,75 @@ def stream_rediff(spark, d):
     return spark.read.parquet(f"{scratch.root}/out").select("path", "category", "sig", "title")
 
 
-def visual_first_pairs(spark, d):
-    """The first 50 same-path pairs in pairing order, which is what a visual comparison covers."""
-    return pair_same_path(spark, d).withColumn("n", F.row_number().over(Window.orderBy("path"))).where(F.col("n") <= CFG["visual"]["maxPages"])
+# ---- site-wide and summary: line items as differences of the pages that are orders
+
+
+def _order_pairs(spark, d) -> DataFrame:
+    k = F.col("o_orderkey")
+    kind = F.element_at(F.array(*map(F.lit, ["error", "only-a", "only-b"])), (k % 50 + 1).cast("int"))
+    return spark.read.parquet(f"{d}/orders.parquet").select(F.concat(F.lit("/o/"), k.cast("string")).alias("path"), F.when(k % 50 < 3, kind).otherwise("compared").alias("kind"), k.alias("ord"))
+
 
+def _item_diffs(spark, d) -> DataFrame:
+    """A difference for each line item; those of lines 1 and 3 are the same on all pages."""
+    n = F.col("l_linenumber")
+    pick = lambda *names: F.element_at(F.array(*map(F.lit, names)), n)
+    category, sig = pick("links", "text", "images", "headings", "forms", "page", "cta"), pick("missing", "changed", "cosmetic", "structural", "added", "error", "changed")
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").withColumn("category", category).withColumn("sig", sig).withColumn("title", F.concat("category", F.lit(" differ")))
+    a = F.array(F.when(n.isin(1, 3), F.lit("x")).otherwise(F.col("l_suppkey").cast("string")))
+    text = F.lit(None).cast("string")
+    return rows.select(
+        F.concat(F.lit("/o/"), F.col("l_orderkey").cast("string")).alias("path"), "category", "sig", "title", a.alias("a"), df_.as_list(None).alias("b"), text.alias("context"), text.alias("note"),
+        F.lit(False).alias("word_diff"), df_.fingerprint(F.col("category"), F.col("sig"), F.col("title"), a, df_.as_list(None)).alias("fp"), n.cast("double").alias("place"),
+    )
 
-# ---- site-wide and summary
+
+def _consolidated(spark, d):
+    pairs = _order_pairs(spark, d)
+    return pairs, consolidate(_item_diffs(spark, d), pairs)
 
 
 def sitewide_fingerprints(spark, d):
-    """Link differences on at least 3 pages and 1 % of the compared ones."""
-    diffs = link_set_diff(spark, d)
-    n = pair_same_path(spark, d).agg(F.count(F.lit(1)).alias("pages"))
-    counts = diffs.groupBy("sig", "target").agg(F.count_distinct("path").alias("n_pages"))
-    return counts.join(F.broadcast(n)).where(F.col("n_pages") >= F.greatest(F.lit(3), F.ceil(F.col("pages") * 0.01))).drop("pages")
+    """Differences that stand on three pages and 30 % of the compared ones at least, with their order and first page."""
+    done = _consolidated(spark, d)[1]
+    return done.site_wide.select("category", "sig", "title", "n_pages", F.get("pages", F.lit(0)).alias("first_page"), "place")
 
 
 def summary_by_significance(spark, d):
-    names = spark.createDataFrame([(k, s) for k, s in enumerate(["error", "missing", "changed", "added", "structural", "cosmetic"])], "rank int, sig string")
-    counts = link_set_diff(spark, d).groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
-    return names.join(counts, "sig", "left").select("sig", "rank", F.coalesce("n", F.lit(0)).alias("n"))
+    done = _consolidated(spark, d)[1]
+    return significance_counts(done.diffs, done.site_wide)
+
+
+def summary_totals(spark, d):
+    pairs, done = _consolidated(spark, d)
+    t = summary(page_results(pairs, done), done.diffs, done.site_wide)
+    return t.select(*(c for c in t.columns if c != "by_significance"), *(F.col("by_significance")[s].alias(f"n_{s}") for s in SIGNIFICANCE))
 
 
 def worst_rank(spark, d):
-    ranks = df_.ranked(link_set_diff(spark, d).withColumn("category", F.lit("links")))
-    worst = ranks.groupBy("path").agg(F.min("rank").alias("worst"), F.count(F.lit(1)).alias("n_diffs"))
-    return pair_same_path(spark, d).select("path").join(worst, "path", "left").select("path", F.coalesce("worst", F.lit(99)).alias("worst"), F.coalesce("n_diffs", F.lit(0)).alias("n_diffs"))
+    pairs, done = _consolidated(spark, d)
+    return page_results(pairs, done).select("path", "kind", "worst", "n_diffs", "n_site_wide", "identical")
 
 
 def page_order(spark, d):
-    order = Window.orderBy("worst", F.col("n_diffs").desc(), "path")
-    return worst_rank(spark, d).select("path", F.row_number().over(order).alias("place"))
+    """Pages in the order of a report."""
+    pairs, done = _consolidated(spark, d)
+    pages = page_results(pairs, done)
+    return numbered(pages, report_order(pages), "place", Scratch(spark, "q-order")).select("path", "place")
 
 
 def top_n_per_category(spark, d):
-    """The first two link differences of each significance of a page, and how many there are."""
-    w = Window.partitionBy("path", "sig")
-    return link_set_diff(spark, d).withColumn("n", F.row_number().over(w.orderBy("target"))).withColumn("n_all", F.count(F.lit(1)).over(w)).where("n <= 2").drop("n")
+    """The first two differences of each category of a page, and how many there are."""
+    done = _consolidated(spark, d)[1]
+    return top_per_category(done.diffs, 2).select("path", "category", F.get("a", F.lit(0)).alias("a"), "n", "n_category")
 
 
-# ---- crawl, CTA, config, stream
+def visual_first_pairs(spark, d):
+    """The first 50 compared pages in pairing order, which is what a visual comparison covers."""
+    return first_compared(_order_pairs(spark, d), CFG["visual"]["maxPages"]).select("path", "ord")
 
 
-def link_closure(spark, d):
-    """Pages within five links of page 1, by the fewest links; the link graph has cycles."""
-    scratch = Scratch(spark, "q-closure")
-    parts = table(spark, d, "part").select("p_partkey")
-    n = parts.count()
-    edges = scratch.table(parts.select(F.col("p_partkey").alias("src"), F.explode(F.array((F.col("p_partkey") * 3) % n + 1, (F.col("p_partkey") * 7 + 2) % n + 1)).alias("dst")).distinct())
-    reached = level = scratch.table(parts.where("p_partkey = 1").select(F.col("p_partkey").alias("node"), F.lit(0).alias("depth")))
-    for depth in range(1, 6):
-        level = scratch.table(level.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(reached, "node", "left_anti").select("node", F.lit(depth).alias("depth")))
-        reached = reached.unionByName(level)
-    return reached
+# ---- CTA, config, stream
 
 
 def cta_kth_match(spark, d):
@@ -419,11 +495,11 @@ def json_config_fields(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        url_norm_host, url_page_key, url_loose_key, url_strip_tracking, url_external_norm, url_in_scope, url_skip_ext, url_reject_reason, image_keys,
+        url_link_key, url_of_key, robots_paths, sitemap_locations, page_similarity, summary_totals, stream_title_changes, url_norm_host, url_page_key, url_loose_key, url_strip_tracking, url_external_norm, url_in_scope, url_skip_ext, url_reject_reason, image_keys,
         text_collapse_ws, text_typography, text_cos, mask_iso_timestamp, mask_clock_seconds, mask_clock, mask_relative_time, mask_copyright, mask_date, mask_uuid,
         mask_hex_token, value_significance, text_tokens, token_counts, dice_similarity, shingle_counts, shingle_jaccard, pair_moved, page_first_wins, page_states,
         pair_same_path, pair_url_variant, pair_one_sided, extract_title_h1_lang, extract_nav_links, extract_structure, extract_blocks, meta_diff_title, link_set_diff,
-        link_broken, text_set_diff, text_align, heading_align, diff_all_categories, stream_rediff, visual_first_pairs, sitewide_fingerprints, summary_by_significance, worst_rank, page_order, top_n_per_category, link_closure,
+        text_set_diff, text_align, heading_align, diff_all_categories, stream_rediff, visual_first_pairs, sitewide_fingerprints, summary_by_significance, worst_rank, page_order, top_n_per_category,
         cta_kth_match, json_config_fields,
     )
-}
+} | planted.QUERIES

@@ -36,8 +36,8 @@ def title_changes(stream: DataFrame, base: DataFrame, cfg: dict, event_time: str
     if event_time:
         arrived = arrived.withWatermark(event_time, late).dropDuplicatesWithinWatermark(["url", "html"])
     titles = base.select("key", F.col("snap_a.meta.title").alias("title_a"))
-    new = value(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1), cfg)
-    joined = arrived.join(titles, "key").withColumn("title_b", new)
+    raw = with_raw(arrived.join(titles, "key"), cfg, url="url")
+    joined = raw.withColumn("title_b", value(F.col("raw.title"), cfg))
     return joined.select("key", "url", F.coalesce(d.value_sig(F.col("title_a"), F.col("title_b")), F.lit("same")).alias("sig"))
 
 
