@@ -7,10 +7,11 @@ from typing import Any
 
 # They must equal the published defaults for results to agree.
 INDEX_FILES = ["index.html", "index.htm", "index.php", "default.aspx", "default.htm"]
-SKIP_EXTENSIONS = (
-    "pdf zip gz rar 7z exe dmg msi jpg jpeg png gif webp avif svg ico bmp tif tiff mp3 mp4 m4a mov avi webm "
-    "ogg wav css js mjs json xml rss atom txt csv xls xlsx doc docx ppt pptx woff woff2 ttf otf eot"
-).split()
+SKIP_EXTENSIONS = [
+    "pdf", "zip", "gz", "rar", "7z", "exe", "dmg", "msi", "jpg", "jpeg", "png", "gif", "webp", "avif", "svg", "ico", "bmp", "tif", "tiff", "mp3",
+    "mp4", "m4a", "mov", "avi", "webm", "ogg", "wav", "css", "js", "mjs", "json", "xml", "rss", "atom", "txt", "csv", "xls", "xlsx", "doc", "docx",
+    "ppt", "pptx", "woff", "woff2", "ttf", "otf", "eot",
+]
 REMOVED_SELECTORS = [
     "script", "style", "noscript", "template", "svg", "[data-pagetwin-ignore]", "#onetrust-consent-sdk", "#CybotCookiebotDialog",
     ".cookie-banner", ".cookie-consent", "#cookie-banner", "#cookie-notice", ".cc-window",
@@ -32,10 +33,10 @@ TEXT_PATTERNS = [
         "flags": "i",
     },
 ]
-TRACKING_PARAMS = (
-    "utm_source utm_medium utm_campaign utm_term utm_content utm_id gclid dclid fbclid msclkid mc_cid mc_eid _ga _gl yclid igshid "
-    "ref ref_src hsa_* _hs* v ver version cb _ cachebuster ts t"
-).split()
+TRACKING_PARAMS = [
+    "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_id", "gclid", "dclid", "fbclid", "msclkid", "mc_cid", "mc_eid", "_ga",
+    "_gl", "yclid", "igshid", "ref", "ref_src", "hsa_*", "_hs*", "v", "ver", "version", "cb", "_", "cachebuster", "ts", "t",
+]
 URL_PATTERNS = ["/wp-admin", "/wp-login", "/cdn-cgi/", "/cart", "/checkout", "/login", "/logout", "/signin", "/signout", "/account", "/search"]
 IMAGE_NAME_PATTERNS = [r"[-_.][0-9a-f]{6,}(?=\.[a-z0-9]+$)", r"-\d{2,4}x\d{2,4}(?=\.[a-z0-9]+$)", r"@[23]x(?=\.[a-z0-9]+$)"]
 SIGNIFICANCE = ["error", "missing", "changed", "added", "structural", "cosmetic"]

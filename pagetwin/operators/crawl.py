@@ -75,12 +75,12 @@ def resolve_redirects(served: DataFrame, blocked: DataFrame, cfg: dict, scratch:
     for n in range(cfg["http"]["maxRedirects"] + 1):
         now = left.join(hop, ["site", "at"], "left").join(stop, ["site", "at"], "left")
         on = F.col("stop").isNull() & F.col("redirect_key").isNotNull()
-        done.append(now.where(~on).select("site", "req_key", F.col("at").alias("final_key"), "code", "hops", F.col("stop").isNotNull().alias("robots"), F.when(F.col("stop").isNull() & F.col("redirect_url").isNotNull(), F.concat(F.lit("Redirects outside the site to "), "redirect_url")).alias("redirect_error")))
+        done.append(now.where(~on).select("site", "req_key", F.col("at").alias("final_key"), "code", "hops", F.col("stop").isNotNull().alias("robots"), F.when(F.col("stop").isNull() & F.col("redirect_url").isNotNull(), F.concat(F.lit("Leads off the site, to "), "redirect_url")).alias("redirect_error")))
         left = scratch.table(now.where(on).select("site", "req_key", F.col("redirect_key").alias("at"), F.coalesce("code", "hop_code").alias("code"), F.lit(n + 1).alias("hops")))
         if left.isEmpty():
             break
     else:
-        done.append(left.select("site", "req_key", F.col("at").alias("final_key"), "code", "hops", F.lit(False).alias("robots"), F.lit(f"Too many redirects (more than {cfg['http']['maxRedirects']})").alias("redirect_error")))
+        done.append(left.select("site", "req_key", F.col("at").alias("final_key"), "code", "hops", F.lit(False).alias("robots"), F.lit(f"Still redirected after {cfg['http']['maxRedirects']} hops").alias("redirect_error")))
     return reduce(DataFrame.unionByName, done)
 
 
@@ -138,7 +138,8 @@ def crawl_sites(served: DataFrame, scopes: dict[str, urls.Scope], robots: dict[s
         out = now.where("not robots").select("site", "final_key", "crawl_ord").join(edges, ["site", "final_key"]).select("site", F.col("target").alias("key"), F.col("crawl_ord").alias("parent_ord"), "link_ord", F.col("final_key").alias("found_by"))
         if depth == 0 and sitemaps is not None and crawl["useSitemap"]:
             reachable = now.join(known.select("site", F.col("key").alias("final_key"), "status"), ["site", "final_key"], "left").where("status is not null").select("site")
-            seeds = sitemaps.join(reachable, "site").where(urls.reject_reason(F.col("url"), host, base, cfg).isNull() & (F.col("ord") < crawl["maxPages"] * 2))
+            # Sitemaps are a few documents (sources.live), so their order is found in one task a site.
+            seeds = sitemaps.join(reachable, "site").where(urls.reject_reason(F.col("url"), host, base, cfg).isNull()).withColumn("ord", F.row_number().over(Window.partitionBy("site").orderBy("ord")) - 1).where(F.col("ord") < crawl["maxPages"] * 2)
             out = out.unionByName(seeds.select("site", urls.to_key(F.col("url"), base, cfg).alias("key"), F.lit(1).alias("parent_ord"), (F.col("ord") + 1_000_000).alias("link_ord"), F.lit("sitemap.xml").alias("found_by")))
         level = scratch.table(first_wins(out.join(queued, ["site", "key"], "left_anti"), ["site", "key"], ["parent_ord", "link_ord"]))
         if level.isEmpty():

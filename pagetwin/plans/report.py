@@ -19,11 +19,11 @@ from pagetwin.operators.sitewide import report_order
 from pagetwin.plans.compare import Comparison
 
 LABEL = dict(zip(CATEGORIES, CATEGORY_LABELS))
-HELP = {
-    "error": "A page or link fails to load", "missing": "On A, not on B", "changed": "Present on both, with different content", "added": "On B, not on A",
-    "structural": "Same content, different structure, order or URL", "cosmetic": "Case, punctuation, dates, formatting or small visual shifts",
+MEANS = {
+    "error": "does not load", "missing": "B lacks it", "changed": "both have it, with other content", "added": "only B has it",
+    "structural": "same content, built or placed otherwise", "cosmetic": "letter case, marks, dates, small shifts",
 }
-KIND = {"compared": "Compared", "only-a": "Only on A", "only-b": "Only on B", "error": "Failed to load"}
+OUTCOME = {"only-a": "A alone", "only-b": "B alone", "error": "not loaded"}
 SKIPPED_SHOWN = 500
 
 
@@ -72,75 +72,82 @@ def result_document(c: Comparison, url_a: str, url_b: str, cfg: dict, started: d
     }
 
 
-def badge(sig: str, n: int | None = None) -> str:
-    return f'<span class="badge {sig}" title="{HELP[sig]}">{sig.title()}{"" if n is None else f" <b>{n}</b>"}</span>'
+def tag(sig: str, n: int | None = None) -> str:
+    return f'<abbr class="s-{sig}" title="{MEANS[sig]}">{sig}{"" if n is None else f" × {n}"}</abbr>'
 
 
-def _side(v: list[str] | None) -> str:
-    if v is None:
-        return '<span class="absent">— not present —</span>'
-    return h.escape(v[0]) if len(v) == 1 else "<ul>" + "".join(f"<li>{h.escape(x)}</li>" for x in v) + "</ul>"
+def cell(values: list[str] | None) -> str:
+    """One side of a difference; several values are lines."""
+    return "<i>nothing</i>" if values is None else "<br>".join(map(h.escape, values))
 
 
-def render_sides(d: dict) -> str:
+def sides(d: dict) -> tuple[str, str]:
+    """Both sides as HTML; single values that are alike have their differing words marked."""
     a, b = d["a"], d["b"]
-    if d["word_diff"] and a and b and len(a) == len(b) == 1:
-        parts = word_diff(a[0], b[0])
-        mark = lambda own, tag: "".join(f"<{tag}>{h.escape(t)}</{tag}>" if k == own else h.escape(t) for k, t in parts if k in ("same", own))
-        left, right = mark("removed", "del"), mark("added", "ins")
-    else:
-        left, right = _side(a), _side(b)
-    return f'<div class="sides"><div><b>A</b> {left}</div><div><b>B</b> {right}</div></div>'
+    if not (d["word_diff"] and a and b and len(a) == len(b) == 1):
+        return cell(a), cell(b)
+    parts = word_diff(a[0], b[0])
+    marked = lambda own, name: "".join(f"<{name}>{h.escape(t)}</{name}>" if k == own else h.escape(t) for k, t in parts if k in ("same", own))
+    return marked("removed", "del"), marked("added", "ins")
 
 
-def render_diff(d: dict, extra: str = "") -> str:
-    context = f' <span class="muted">{h.escape(d["context"])}</span>' if d.get("context") else ""
-    note = f'<p class="note">{h.escape(d["note"])}</p>' if d.get("note") else ""
-    return f'<div class="diff" data-sig="{d["sig"]}" data-cat="{d["category"]}">{badge(d["sig"])} {h.escape(d["title"])}{context}{extra}{render_sides(d)}{note}</div>'
+def difference_row(d: dict, where: str = "") -> str:
+    a, b = sides(d)
+    about = " · ".join(h.escape(x) for x in (d.get("context"), d.get("note")) if x)
+    return f'<tr class="difference" data-s="{d["sig"]}" data-c="{d["category"]}"><td>{tag(d["sig"])}</td><td>{LABEL[d["category"]]}: {h.escape(d["title"])}{where}<br><small>{about}</small></td><td>{a}</td><td>{b}</td></tr>'
 
 
-def _counts(diffs: list[dict]) -> str:
-    n = Counter(d["sig"] for d in diffs)
-    return " ".join(badge(s, n[s]) for s in SIGNIFICANCE if n[s])
+def difference_table(diffs: list[dict], most: int, where=lambda d: "") -> str:
+    """Differences by category, `most` of each."""
+    rows = []
+    for c in CATEGORIES:
+        mine = [d for d in diffs if d["category"] == c]
+        rows += [difference_row(d, where(d)) for d in mine[:most]]
+        if len(mine) > most:
+            rows.append(f'<tr><td colspan="4"><small>{LABEL[c]}: {len(mine) - most} not listed</small></td></tr>')
+    return f"<table><tr><th>Kind</th><th>What</th><th>A</th><th>B</th></tr>{''.join(rows)}</table>"
 
 
-def _categories(diffs: list[dict], most: int) -> str:
-    out = []
-    for cat in CATEGORIES:
-        ds = [d for d in diffs if d["category"] == cat]
-        if ds:
-            more = f'<p class="muted">… and {len(ds) - most} more in this category.</p>' if len(ds) > most else ""
-            out.append(f'<div class="cat" data-cat="{cat}"><h4>{LABEL[cat]} <span class="muted">({len(ds)})</span></h4>{"".join(map(render_diff, ds[:most]))}{more}</div>')
-    return "".join(out)
+def outcome(p: dict) -> str:
+    if p["kind"] != "compared":
+        return OUTCOME[p["kind"]]
+    counts = Counter(d["sig"] for d in p["diffs"])
+    said = [tag(s, counts[s]) for s in SIGNIFICANCE if counts[s]] + ([f"{len(p['siteWide'])} site-wide"] if p["siteWide"] else [])
+    return " ".join(said) or "identical"
+
+
+STYLE = "body{font:16px/1.4 system-ui;margin:auto;max-width:80rem;padding:1rem}table{border-collapse:collapse;width:100%}td,th{border:1px solid #bbb;padding:.3rem;text-align:left;vertical-align:top}dl{display:grid;grid-template-columns:max-content auto;gap:.1rem 1rem}dd{margin:0}abbr{font-weight:bold}.s-error,.s-missing{color:#b00020}.s-cosmetic,small{color:#666}del{background:#ffd6d6}ins{background:#d3f5d3}"
+SCRIPT = """
+const show=document.forms.show;
+show.oninput=()=>{const data=new FormData(show),kinds=new Set(data.getAll('kind')),path=data.get('path').toLowerCase();
+for(const row of document.querySelectorAll('.difference'))row.hidden=!kinds.has(row.dataset.s)||(data.get('category')&&row.dataset.c!==data.get('category'));
+for(const part of document.querySelectorAll('[data-path]'))part.hidden=!part.dataset.path.toLowerCase().includes(path);};"""
 
 
 def render_html(r: dict, cfg: dict) -> str:
-    s, pages, e = r["summary"], r["pages"], h.escape
-    path = lambda p: f"{e(p['keyA'])} → {e(p['keyB'])}" if p["keyA"] and p["keyB"] and p["keyA"] != p["keyB"] else e(p["keyA"] or p["keyB"])
-    result = lambda p: KIND[p["kind"]] if p["kind"] != "compared" else "Identical" if p["identical"] else f"{len(p['diffs'])} differences" if p["diffs"] else "Same content (site-wide only)"
-    tiles = "".join(f'<div class="tile"><b>{n}</b> {t}</div>' for n, t in ((s["pages_compared"], "Pages compared"), (s["identical"], "identical"), (s["with_differences"], "with differences"), (s["site_wide"], "Site-wide differences"), (s["only_a"], "only on A"), (s["only_b"], "only on B"), (s["errors"], "failed to load")))
-    notes = "".join(f'<p class="{"warn" if n.startswith(("WARNING", "ERROR")) else ""}">{e(n)}</p>' for n in r["notes"])
-    rows = "".join(f'<tr data-path="{e((p["keyA"] or "") + " " + (p["keyB"] or ""))}"><td><a href="#p{i}">{path(p)}</a></td><td>{result(p)}</td><td>{_counts(p["diffs"])}{f" +{len(p['siteWide'])} site-wide" if p["siteWide"] else ""}</td><td>{p["statusA"] or "—"}</td><td>{p["statusB"] or "—"}</td></tr>' for i, p in enumerate(pages))
-    wide = "".join(render_diff(d, f' <span class="muted">on {len(d["pages"])} of {s["pages_compared"]} compared pages: {e(", ".join(d["pages"]))}</span>') for d in r["siteWide"])
-    parts = "".join(f'<details class="page" id="p{i}" data-path="{e((p["keyA"] or "") + " " + (p["keyB"] or ""))}" open><summary>{path(p)} {_counts(p["diffs"])}</summary>{_categories(p["diffs"], cfg["output"]["maxDiffsPerCategory"])}</details>' for i, p in enumerate(pages) if p["diffs"])
-    skipped = [(site, x) for site in "AB" for x in r["sites"][site]["skipped"]]
-    left = "".join(f"<tr><td>{site}</td><td>{e(x['url'])}</td><td>{e(x['reason'])}</td></tr>" for site, x in skipped[:SKIPPED_SHOWN])
-    chips = "".join(f'<label><input type="checkbox" data-sig="{k}" checked>{badge(k, s["by_significance"].get(k, 0))}</label>' for k in SIGNIFICANCE)
-    options = "".join(f'<option value="{k}">{v}</option>' for k, v in LABEL.items())
-    legend = "".join(f"<li>{badge(k)} {HELP[k]}</li>" for k in SIGNIFICANCE)
-    script = """
-const q=(s)=>[...document.querySelectorAll(s)];
-function apply(){const on=new Set(q('input[data-sig]').filter(x=>x.checked).map(x=>x.dataset.sig)),cat=document.getElementById('cat').value,text=document.getElementById('find').value.toLowerCase();
-q('.diff').forEach(d=>d.hidden=!on.has(d.dataset.sig)||(cat&&d.dataset.cat!==cat));q('.cat').forEach(c=>c.hidden=![...c.querySelectorAll('.diff')].some(d=>!d.hidden));
-q('.page').forEach(p=>p.hidden=!p.dataset.path.toLowerCase().includes(text)||![...p.querySelectorAll('.diff')].some(d=>!d.hidden));q('tr[data-path]').forEach(t=>t.hidden=!t.dataset.path.toLowerCase().includes(text));}
-document.addEventListener('input',apply);"""
-    style = "body{font:15px sans-serif;max-width:70em;margin:2em auto;padding:0 1em}.tile{display:inline-block;border:1px solid #ccc;padding:.6em;margin:.2em}.diff{border-left:3px solid #999;margin:.6em 0;padding:.3em .8em}.sides{display:flex;gap:1em}.sides>div{flex:1}.muted{color:#777}.warn{color:#a00}.badge{border-radius:3px;padding:0 .4em;background:#eee}del{background:#fdd}ins{background:#dfd}"
-    return f"""<!doctype html><html lang="en"><head><meta charset="utf-8"><title>{e(r["sites"]["A"]["label"])} and {e(r["sites"]["B"]["label"])}</title><style>{style}</style></head><body>
-<h1>{e(r["sites"]["A"]["label"])} and {e(r["sites"]["B"]["label"])}</h1><p class="muted">{e(r["sites"]["A"]["url"])} and {e(r["sites"]["B"]["url"])}, {e(r["generatedAt"])}</p>
-<section>{tiles}</section><section>{notes}</section><section>{chips}<select id="cat"><option value="">All categories</option>{options}</select><input id="find" placeholder="path"></section>
-<table><thead><tr><th>Page</th><th>Result</th><th>Differences</th><th>A</th><th>B</th></tr></thead><tbody>{rows}</tbody></table>
-{f"<section><h2>Site-wide differences ({len(r['siteWide'])})</h2>{wide}</section>" if r["siteWide"] else ""}{parts}
-{f"<details><summary>Links not followed ({len(skipped)})</summary><table>{left}</table></details>" if skipped else ""}<ul>{legend}</ul><script>{script}</script></body></html>"""
+    """One self-contained page: totals, notes, a list of pages, and the differences of each."""
+    e, s, sites = h.escape, r["summary"], r["sites"]
+    name = lambda p: " → ".join(dict.fromkeys(k for k in (p["keyA"], p["keyB"]) if k))
+    totals = {"Pages compared": s["pages_compared"], "of them identical": s["identical"], "of them with differences": s["with_differences"], "Site-wide differences": s["site_wide"], "Pages of A alone": s["only_a"], "Pages of B alone": s["only_b"], "Pages that did not load": s["errors"]}
+    kinds = "".join(f'<label><input type="checkbox" name="kind" value="{k}" checked>{tag(k, s["by_significance"].get(k, 0))}: {MEANS[k]}</label><br>' for k in SIGNIFICANCE)
+    options = "".join(f'<option value="{c}">{LABEL[c]}</option>' for c in CATEGORIES)
+    pages = "".join(f'<tr data-path="{e(name(p))}"><td><a href="#page-{n}">{e(name(p))}</a></td><td>{outcome(p)}</td><td>{p["statusA"] or ""}</td><td>{p["statusB"] or ""}</td></tr>' for n, p in enumerate(r["pages"]))
+    most = cfg["output"]["maxDiffsPerCategory"]
+    found = "".join(f'<section id="page-{n}" data-path="{e(name(p))}"><h3>{e(name(p))}</h3>{difference_table(p["diffs"], most)}</section>' for n, p in enumerate(r["pages"]) if p["diffs"])
+    wide = difference_table(r["siteWide"], most, lambda d: f"<br><small>{len(d['pages'])} pages: {e(', '.join(d['pages'][:20]))}</small>") if r["siteWide"] else ""
+    skipped = "".join(f"<li>{s}: {e(x['url'])} ({e(x['reason'])})</li>" for s in "AB" for x in sites[s]["skipped"][:SKIPPED_SHOWN])
+    title = " / ".join(e(sites[s]["label"]) for s in "AB")
+    parts = [
+        f"<h1>{title}</h1><p>A: {e(sites['A']['url'])}<br>B: {e(sites['B']['url'])}<br>{e(r['generatedAt'])}</p>",
+        f"<dl>{''.join(f'<dt>{k}</dt><dd>{v}</dd>' for k, v in totals.items())}</dl>",
+        f"<ul>{''.join(f'<li>{e(n)}</li>' for n in r['notes'])}</ul>",
+        f'<form name="show">{kinds}<select name="category"><option value="">every category</option>{options}</select> <input name="path" placeholder="part of a path"></form>',
+        f"<h2>Pages</h2><table><tr><th>Path</th><th>Outcome</th><th>A</th><th>B</th></tr>{pages}</table>",
+        f"<h2>Site-wide differences</h2>{wide}" if wide else "",
+        f"<h2>Differences by page</h2>{found}" if found else "",
+        f"<details><summary>Links that were not followed</summary><ul>{skipped}</ul></details>" if skipped else "",
+    ]
+    return f'<!doctype html><html lang="en"><meta charset="utf-8"><title>{title}</title><style>{STYLE}</style><body>{"".join(parts)}<script>{SCRIPT}</script></body></html>'
 
 
 def write_report(result: dict, folder: str, cfg: dict) -> tuple[str, str | None]:

@@ -58,7 +58,7 @@ def test_home_page(diffs):
 
 def test_products_contact_dates(diffs):
     assert has(diffs, "/products", "text", "changed", a=r"\$49\.99", b=r"\$59\.99") and has(diffs, "/products", "structure", title="tables")
-    assert has(diffs, "/products", "metadata", b="noindex", note="NOT to index")
+    assert has(diffs, "/products", "metadata", b="noindex", note="NOT index")
     assert has(diffs, "/contact", "forms", "missing", a="phone") and has(diffs, "/contact", "forms", "added", b="company") and has(diffs, "/contact", "forms", title="email.*required")
     assert has(diffs, "/blog/first-post", "text", "cosmetic", a="March 3")
 
