@@ -41,6 +41,12 @@ def test_entry(spark):
 
 
 def test_no_python_on_native_paths(spark):
-    for name in ("url_page_key", "text_cos", "link_set_diff", "token_counts"):
+    for name in ("url_page_key", "text_cos", "top_n_per_category", "token_counts"):
         plan = entry.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("name", ["extract_nav_links", "extract_blocks", "planted_fields", "meta_diff_title"])
+def test_pages_are_parsed_once(spark, name):
+    plan = entry.queries()[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("raw(html") == (2 if name == "meta_diff_title" else 1)  # that one joins both sites' pages
