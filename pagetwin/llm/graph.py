@@ -1,44 +1,3 @@
-"""Connected components by alternating large-star and small-star steps (Kiveris et al., 2014)."""
+"""Connected components, as the operators make them."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from pagetwin.session import Scratch
-
-
-def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 50) -> DataFrame:
-    """(node, root) for every node of `edges` (a long, b long); root is the smallest node of its component.
-
-    Every step aggregates before it joins, and each round is written to shared storage. Self-loops and
-    repeated edges are harmless; an empty table gives no rows.
-    """
-    now = scratch.table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    mark = _mark(now)
-    for _ in range(max_rounds):
-        if not mark[0]:
-            break
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # Written first, so that the join has exchanges of its own: the neighbours of a hub can be split.
-        least = scratch.table(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
-        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        after = scratch.table(small)
-        new = _mark(after)
-        scratch.drop(now, least)
-        now, done = after, new == mark
-        mark = new
-        if done:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
-
-
-def _mark(edges: DataFrame) -> tuple:
-    """Stands for the set of edges: they have settled when it no longer changes."""
-    r = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 20)))).first()
-    return tuple(r)
+from pagetwin.operators.graph import components  # noqa: F401
