@@ -32,7 +32,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, repeated passages cut from all places but the first by doc_id (null first); null texts stay null, a text of repeats only becomes empty."""
+    """All rows, near copies of paragraphs (MinHash banding, then a comparison word by word) and repeated passages cut from all places but the first by doc_id (null first); null texts stay null, a text of repeats only becomes empty."""
     return substrings.cut_paragraphs(docs)
 
 
