@@ -4,12 +4,12 @@
    band keys from groups of minima; the lowest bit of each mixed minimum is kept and packed.
 2. Units of equal sets form one class and are represented by one unit.
 3. Units that share a band key are candidates. Inside a key, similarity is estimated from the packed
-   bits (bit counts, corrected for chance agreement), and what may reach the threshold is linked. Keys
-   with very many units are not estimated: all of their units are linked, natively.
+   bits (bit counts, corrected for chance agreement), and what may reach the threshold by it and by both
+   set sizes is linked. Keys with very many units are not estimated: all of their units are linked, natively.
 4. Linked candidates make clusters. All links within a cluster are confirmed on full sets. A cluster of
    more than CLUSTER_SHINGLES shingles or CLUSTER_UNITS units is dealt out in blocks: first every unit is
-   compared with PIVOTS of its cluster, then what is not in the largest component so far with all units.
-   Only spanning edges of a task's components leave it, never all pairs.
+   compared with PIVOTS of its cluster, then those with each other that share one of their rarest shingles,
+   of which two linked sets always share one. Only spanning edges of a task's components leave it, never all pairs.
 5. Components of the confirmed links are the result.
 
 A pair at the threshold misses every band with a probability of at most MISS.
@@ -251,9 +251,14 @@ def estimate(x: np.ndarray, y: np.ndarray, minima: int) -> np.ndarray:
     return 1 - 2 * differ / minima
 
 
-def link_key(ids: np.ndarray, bits: np.ndarray, spec: Spec) -> list[tuple[int, int]]:
-    """Star edges over the units of one band key whose estimates connect them."""
-    n, margin = len(ids), spec.margin()
+def alike(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, spec: Spec) -> np.ndarray:
+    """Whether units of bits x and y and set sizes n and m may be linked: a link needs den * smaller >= num * larger."""
+    return (estimate(x, y, spec.minima) >= spec.margin()) & (spec.den * np.minimum(n, m) >= spec.num * np.maximum(n, m))
+
+
+def link_key(ids: np.ndarray, bits: np.ndarray, spec: Spec, sizes: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Star edges over the units of one band key whose estimates, and set sizes where given, connect them."""
+    n, sizes = len(ids), np.ones(len(ids), np.int64) if sizes is None else sizes
     if n > KEY_UNITS:
         low = int(ids.min())
         return [(low, int(x)) for x in ids if x != low]
@@ -263,7 +268,8 @@ def link_key(ids: np.ndarray, bits: np.ndarray, spec: Spec) -> list[tuple[int, i
         members = [left[:0]]
         head = todo[0]
         while todo and len(left):
-            near = estimate(bits[todo.pop()], bits[left], spec.minima) >= margin
+            u = todo.pop()
+            near = alike(bits[u], bits[left], sizes[u], sizes[left], spec)
             members.append(left[near])
             todo += list(left[near])
             left = left[~near]
@@ -299,26 +305,26 @@ def hot_keys(reps: DataFrame, least: int) -> DataFrame:
 
 def candidate_links(reps: DataFrame, spec: Spec, scratch: Scratch) -> DataFrame:
     """Edges (a, b) between class representatives that share a band key and may be similar enough."""
-    rows = reps.select(F.col("rep"), "bits", F.explode("bands").alias("key"))
+    rows = reps.select(F.col("rep"), "bits", F.col("n_shingles").cast("long").alias("size"), F.explode("bands").alias("key"))
     n = reps.count()
     hot_from = max(HOT_LEAST, int(n * HOT_SHARE))
     keys = scratch.table(hot_keys(reps, hot_from))
     hot = scratch.table(rows.join(F.broadcast(keys), "key").groupBy("key").agg(F.min("rep").alias("low")))
     native = rows.join(F.broadcast(hot), "key").select(F.col("low").alias("a"), F.col("rep").alias("b"))
     dealt = rows.join(F.broadcast(hot), "key", "left_anti").repartition(F.col("key")).sortWithinPartitions("key")
-    dealt = dealt.select("key", "rep", "bits")
+    dealt = dealt.select("key", "rep", "bits", "size")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(key, rep, bits):
+        def flush(key, rep, bits, sizes):
             """Edges of whole keys."""
             cuts = np.flatnonzero(np.diff(key)) + 1
             starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(key)]])
-            size = ends - starts
-            two = starts[size == 2]
-            ok = estimate(bits[two], bits[two + 1], spec.minima) >= spec.margin()
+            n = ends - starts
+            two = starts[n == 2]
+            ok = alike(bits[two], bits[two + 1], sizes[two], sizes[two + 1], spec)
             edges = list(zip(rep[two[ok]].tolist(), rep[two[ok] + 1].tolist()))
-            for s, e in zip(starts[size > 2].tolist(), ends[size > 2].tolist()):
-                edges += link_key(rep[s:e], bits[s:e], spec)
+            for s, e in zip(starts[n > 2].tolist(), ends[n > 2].tolist()):
+                edges += link_key(rep[s:e], bits[s:e], spec, sizes[s:e])
             edges = list(set(edges))
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
@@ -327,7 +333,7 @@ def candidate_links(reps: DataFrame, spec: Spec, scratch: Scratch) -> DataFrame:
             if not batch.num_rows:
                 continue
             words = spec.minima // 64
-            now = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).flatten().to_numpy().view(np.uint64).reshape(-1, words))
+            now = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).flatten().to_numpy().view(np.uint64).reshape(-1, words), batch.column(3).to_numpy())
             held = now if held is None else tuple(np.concatenate(p) for p in zip(held, now))
             last = int(np.searchsorted(held[0], held[0][-1]))
             if last and len(held[0]) >= 20_000:
@@ -456,12 +462,41 @@ def hubs(large: DataFrame, reps: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.table(degree.groupBy("cluster", F.pmod(F.xxhash64(F.lit(5), "rep"), F.lit(PIVOTS)).alias("k")).agg(F.max_by("rep", F.struct("n", "rep")).alias("rep")).select("rep"))
 
 
+def rare_shingles(sets: DataFrame, spec: Spec, scratch: Scratch) -> DataFrame:
+    """(cluster, shingle, rep): of each unit in `sets` (cluster, rep, set), those of its rarest shingles that others of its cluster have too.
+
+    In one order of a cluster's shingles, a link of sets of sizes m and n shares one that is among the first
+    m - t + 1 of the one and the first n - u + 1 of the other, where t and u are num / den of m and n, rounded
+    up: what both share has t and u members at least. The order is by the number of units that have a
+    shingle, so that what many units have is hardly ever among the first.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cluster, rep, s in zip(*(c.to_pylist() for c in batch.columns)):
+                s = np.frombuffer(s, np.int64)
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(s), x, np.int64)) for x in (cluster, rep, len(s))), pa.array(s)], names=["cluster", "rep", "n_shingles", "shingle"])
+
+    all_ = scratch.table(sets.select("cluster", "rep", "set").mapInArrow(tidy(run), "cluster long, rep long, n_shingles long, shingle long"))
+    # Written first, so that the join has exchanges of its own, whose hot shingles can be split.
+    often = scratch.table(all_.groupBy("cluster", "shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    shared = all_.join(often, ["cluster", "shingle"]).groupBy("cluster", "rep", "n_shingles").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("list"))
+    # Shingles that no other unit has come first.
+    alone = "n_shingles - size(list)"
+    first = f"n_shingles - (n_shingles * {spec.num} + {spec.den - 1}) div {spec.den} + 1"
+    rare = shared.select("cluster", "rep", F.explode(F.expr(f"slice(list.shingle, 1, cast(greatest(0, {first} - ({alone})) as int))")).alias("shingle"))
+    found = scratch.table(rare)
+    scratch.drop(all_, often)
+    return found
+
+
 def large_links(sets: DataFrame, pivots: DataFrame, spec: Spec, scratch: Scratch) -> DataFrame:
     """Edges inside clusters that are dealt over `blocks` tasks each.
 
-    Pivots are sent to all blocks of their cluster. What they do not join to the largest component is then
-    compared with all units of the cluster, in pairs of blocks. Where few are left, both steps are linear in
-    the cluster; where most are, each unit is sent once for every BLOCK_SHINGLES shingles that are left.
+    Pivots are sent to all blocks of their cluster. Units that they leave apart are then compared where they
+    share a rare shingle, so a unit is sent once for each of these, not for each block of its cluster. Of a
+    shingle with very many units, those outside the largest component so far are compared with all, in pairs
+    of blocks.
     """
     all_ = scratch.table(sets)
     every = F.explode(F.expr("sequence(0L, blocks - 1)"))
@@ -471,24 +506,29 @@ def large_links(sets: DataFrame, pivots: DataFrame, spec: Spec, scratch: Scratch
     first = scratch.table(by_group(units.unionByName(pivots), ["cluster", "block"], lambda i, u, p: pivot_links(i, u, p, spec)))
     joined = components(first, scratch).select(F.col("node").alias("rep"), F.col("root").alias("mark"))
     marked = scratch.table(all_.select("rep", "cluster", (F.octet_length("set") / 8).alias("n")).join(joined, "rep", "left").withColumn("mark", F.coalesce("mark", "rep")))
-    sizes = marked.groupBy("cluster", "mark").agg(F.count(F.lit(1)).alias("n_units"), F.sum("n").alias("n"))
-    main = sizes.groupBy("cluster").agg(F.max_by("mark", F.struct("n_units", "mark")).alias("main"), F.sum("n").alias("n_all"), F.max_by("n", F.struct("n_units", "mark")).alias("n_main"), F.sum("n_units").alias("all"), F.max("n_units").alias("most"))
-    parts = lambda n, units: F.greatest(F.lit(1), F.ceil(n / BLOCK_SHINGLES), F.ceil(units / BLOCK_UNITS)).cast("long")
-    main = scratch.table(main.where("all > most").select("cluster", "main", parts(F.col("n_all") - F.col("n_main"), F.col("all") - F.col("most")).alias("rows"), parts(F.col("n_all"), F.col("all")).alias("cols")))
-    if main.isEmpty():
+    apart = scratch.table(marked.groupBy("cluster").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low <> high").select("cluster"))
+    if apart.isEmpty():
         return first
-    small = main.count() <= BROADCAST_UNITS
-    rest = all_.drop("blocks").join(marked.select("rep", "mark"), "rep").join(F.broadcast(main) if small else main, "cluster")
+    small = apart.count() <= BROADCAST_UNITS
+    keys = ["cluster", "shingle"]
+    rare = rare_shingles(all_.join(F.broadcast(apart) if small else apart, "cluster", "left_semi"), spec, scratch)
+    shared = scratch.table(rare.join(marked.select("rep", "mark", "n"), "rep"))
+    sizes = shared.groupBy(*keys, "mark").agg(F.count(F.lit(1)).alias("n_units"), F.sum("n").alias("n"))
+    main = sizes.groupBy(*keys).agg(F.max_by("mark", F.struct("n_units", "mark")).alias("main"), F.sum("n").alias("n_all"), F.max_by("n", F.struct("n_units", "mark")).alias("n_main"), F.sum("n_units").alias("all"), F.max("n_units").alias("most"))
+    parts = lambda n, units: F.greatest(F.lit(1), F.ceil(n / BLOCK_SHINGLES), F.ceil(units / BLOCK_UNITS)).cast("long")
+    main = scratch.table(main.where("all > most").select(*keys, "main", parts(F.col("n_all") - F.col("n_main"), F.col("all") - F.col("most")).alias("rows"), parts(F.col("n_all"), F.col("all")).alias("cols")))
+    rest = scratch.table(shared.drop("n").join(main, keys)).join(all_.select("rep", "set"), "rep")
     row, col = F.pmod(F.xxhash64(F.lit(6), "rep"), F.col("rows")), F.pmod(F.xxhash64(F.lit(7), "rep"), F.col("cols"))
     span = lambda n: F.explode(F.expr(f"sequence(0L, {n} - 1)"))
-    left = rest.where("mark <> main").select("cluster", row.alias("i"), span("cols").alias("j"), "rep", "set", "mark")
-    right = rest.select("cluster", span("rows").alias("i"), col.alias("j"), "rep", "set", "mark")
+    # Where there is one column, each row has all units from the right side.
+    left = rest.where("mark <> main and cols > 1").select(*keys, row.alias("i"), span("cols").alias("j"), "rep", "set", "mark")
+    right = rest.select(*keys, span("rows").alias("i"), col.alias("j"), "rep", "set", "mark")
 
     def second(ids, units, marks):
         once = dict(zip(ids, zip(units, marks)))  # a unit may be on both sides
         return confirm(list(once), [u for u, _ in once.values()], spec, [m for _, m in once.values()]) if len(once) > 1 else []
 
-    return first.unionByName(by_group(left.unionByName(right), ["cluster", "i", "j"], second))
+    return first.unionByName(by_group(left.unionByName(right), [*keys, "i", "j"], second))
 
 
 def linked_units(docs: DataFrame, spec: Spec, scratch: Scratch) -> DataFrame:
