@@ -102,20 +102,20 @@ class Stretches:
         self.marks = dict(zip(",.", many([",", "."])))
 
     def encode(self, text: str) -> bytes:
-        keys = []
-        for line in text.split("\n"):
-            first, *rest = line.split(" ")
-            keys.append("\n" + first)
-            keys += rest
-        keys[0] = "\n" + keys[0]
+        keys = ("\n\n" + text.replace("\n", " \n")).split(" ")
         got = list(map(self.memo.get, keys))
-        if None in got:
-            missing = list({s for s, v in zip(keys, got) if v is None})
+        if gaps := got.count(None):
+            at, places = -1, []
+            for _ in range(gaps):
+                at = got.index(None, at + 1)
+                places.append(at)
+            missing = list({keys[k] for k in places})
             bare = [s.lstrip("\n") for s in missing]
-            if any(not x or x[0].isspace() or x[-1].isspace() for x in bare):
+            if "" in bare or len("".join(bare).split(None, 1)) > 1 and any(x[0].isspace() or x[-1].isspace() for x in bare):
                 return self.many([text])[0]
             new = self._new(missing)
-            got = [new[s] if v is None else v for s, v in zip(keys, got)]
+            for k in places:
+                got[k] = new[keys[k]]
             room = self.remembered - len(self.memo)
             if room > 0:
                 self.memo.update([(s, v) for s, v in new.items() if len(s) <= MEMO_CHARS][:room])

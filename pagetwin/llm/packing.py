@@ -12,16 +12,20 @@ ties go to the bin that was used last; an empty table gives no rows; other colum
 
 from __future__ import annotations
 
+import codecs
 import os
+import re
+import string
 import zlib
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagetwin.llm.bpe import Stretches
+from pagetwin.llm.bpe import MEMO_CHARS, Stretches
 from pagetwin.llm.rows import narrow, tidy
 from pagetwin.session import Scratch, prepare
 
@@ -30,6 +34,8 @@ END_ID = 0
 #: Open bins of a group, and pieces wanted in a group.
 OPEN_BINS = 1024
 GROUP_PIECES = 65_536
+#: Words that the vocabulary's model encodes as one string, and runs of marks that a worker remembers.
+JOINED_WORDS, TAILS = 64, 10_000
 
 
 def pieces(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
@@ -79,10 +85,32 @@ class Marked(Stretches):
     def __init__(self, many, added: list[str], whole):
         super().__init__(many)
         self.added, self.in_one_go = added, whole
+        self.tails: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         return self.in_one_go(text) if any(a in text for a in self.added) else super().encode(text)
 
+    def _new(self, missing: list[str]) -> dict[str, bytes]:
+        """Ids of keys not seen before; marks after a Latin letter are one match, whose ids are put behind the key without them."""
+        todo, tailed = [], []
+        for s in missing:
+            if s[-1] in string.punctuation and (stem := s.rstrip(string.punctuation)) and stem[-1].isalpha() and stem[-1] < "\u0250":
+                tailed.append((s, stem))
+            else:
+                todo.append(s)
+        todo += [s for s in {stem for _, stem in tailed}.difference(todo) if s not in self.memo]
+        out = dict(zip(todo, self.many([s[2:] if s[:2] == "\n\n" else s if s[0] == "\n" else f" {s}" for s in todo])))
+        for s, stem in tailed:
+            out[s] = (out[stem] if stem in out else self.memo[stem]) + self._tail(s[len(stem) :])
+        return out
+
+    def _tail(self, marks: str) -> bytes:
+        if (ids := self.tails.get(marks)) is None:
+            ids = self.many([marks])[0]
+            if len(marks) <= MEMO_CHARS and len(self.tails) < TAILS:
+                self.tails[marks] = ids
+        return ids
+
 
 _TOKENIZERS: dict[int, Stretches] = {}
 
@@ -94,11 +122,19 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in prints} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
+def reaches_over(token: bytes) -> bool:
+    """Whether a token could hold the end of a word of letters and what follows, or a line feed and the word after it."""
+    text = token.decode("utf-8", "surrogateescape")
+    return bool(re.search(r"[^ \n][ \n]|\n[^ \n]", text)) and all(c in " \n" or c.isalpha() or "\ud800" <= c <= "\udfff" for c in text)
+
+
 def tokenizer(blob: bytes) -> Stretches:
     """The worker's tokenizer of this vocabulary; special tokens in a text are found as the library finds them.
 
-    A word of Latin letters, with the space before it, is one match of the split pattern, so the
-    vocabulary's model encodes it without the steps around it; anything else takes them all.
+    A word of Latin letters, with the space before it, is one match of the split pattern, and so is a line
+    feed before a word, so the vocabulary's model encodes them without the steps around it; anything else
+    takes them all. Where no token reaches over the start of a word, no merge does, and many words are given
+    to the model as one string: tokens that begin with a space or line feed say where words begin.
     """
     key = zlib.crc32(blob)
     if key not in _TOKENIZERS:
@@ -107,17 +143,33 @@ def tokenizer(blob: bytes) -> Stretches:
 
         t = Tokenizer.from_buffer(blob)
         added = [k.content for k in t.get_added_tokens_decoder().values()]
-        model, letters = t.model, byte_letters()
-
-        def one_match(text: str) -> bool:
-            word = text[1:] if text[:1] == " " else text
-            return word.isalpha() and (word.isascii() or max(word) < "\u0250")
+        model, letters = t.model, "".join(byte_letters()[b] for b in range(256))
+        as_letters = lambda x: codecs.charmap_decode(x.encode(), "strict", letters)[0]
+        byte, starts = {c: b for b, c in enumerate(letters)}, as_letters(" \n")
+        known = t.get_vocab(with_added_tokens=False)
+        joins = not any(reaches_over(bytes(byte[c] for c in x)) for x in known if all(c in byte for c in x))
+        begins = np.zeros(max(known.values(), default=-1) + 1, bool)
+        begins[[k for x, k in known.items() if x[0] in starts]] = True
+
+        def joined(words: list[str]) -> list[bytes]:
+            """Ids of words that begin with a space or line feed each."""
+            out = []
+            for at in range(0, len(words), JOINED_WORDS):
+                ids = np.array([k.id for k in model.tokenize(as_letters("".join(words[at : at + JOINED_WORDS])))], "<u4")
+                raw, cuts = ids.tobytes(), [*(4 * np.flatnonzero(begins[ids])).tolist(), 4 * len(ids)]
+                out += [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+            return out
 
         def many(texts: list[str]) -> list[bytes]:
-            rest = [x for x in texts if not one_match(x)]
-            full = dict(zip(rest, t.encode_batch(rest, add_special_tokens=False))) if rest else {}
-            ids = lambda x: full[x].ids if x in full else [k.id for k in model.tokenize(x.encode().decode("latin-1").translate(letters))]
-            return [array("I", ids(x)).tobytes() for x in texts]
+            words, rest = [], []
+            for x in texts:
+                word = x[1:] if x[:1] in " \n" else x
+                latin = word.isalpha() and (word.isascii() or max(word) < "\u0250")
+                (words if latin and joins and word is not x else rest).append(x)
+            ids = dict(zip(words, joined(words)))
+            if rest:
+                ids.update((x, array("I", k.ids).tobytes()) for x, k in zip(rest, t.encode_batch(rest, add_special_tokens=False)))
+            return [ids[x] for x in texts]
 
         whole = lambda x: array("I", t.encode(x, add_special_tokens=False).ids).tobytes()
         _TOKENIZERS[key] = Marked(many, added, whole)
