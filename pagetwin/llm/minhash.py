@@ -8,8 +8,9 @@
    set sizes is linked. Keys with very many units are not estimated: all of their units are linked, natively.
 4. Linked candidates make clusters. All links within a cluster are confirmed on full sets. A cluster of
    more than CLUSTER_SHINGLES shingles or CLUSTER_UNITS units is dealt out in blocks: first every unit is
-   compared with PIVOTS of its cluster, then those with each other that share one of their rarest shingles,
-   of which two linked sets always share one. Only spanning edges of a task's components leave it, never all pairs.
+   compared with PIVOTS of its cluster, then what is not in the largest component so far with all units.
+   In a cluster of more than PAIRED_BLOCKS blocks only those are compared that share one of their rarest
+   shingles, as two linked sets always do. Only spanning edges of a task's components leave it, never all pairs.
 5. Components of the confirmed links are the result.
 
 A pair at the threshold misses every band with a probability of at most MISS.
@@ -48,6 +49,8 @@ HOT_SHARE, HOT_LEAST = 1e-4, 50_000
 CLUSTER_SHINGLES, CLUSTER_UNITS = 24_000, 128
 #: Units of a large cluster that all others are compared with first; shingles and units of a block of what is left after that.
 PIVOTS, BLOCK_SHINGLES, BLOCK_UNITS = 16, 200_000, 512
+#: Such blocks of a cluster that are compared in pairs at most; in a larger cluster, units meet where they share a rare shingle.
+PAIRED_BLOCKS = 16
 #: Classes with candidates that are broadcast at most; beyond, the join is shuffled.
 BROADCAST_UNITS = 400_000
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -493,11 +496,12 @@ def rare_shingles(sets: DataFrame, spec: Spec, scratch: Scratch) -> DataFrame:
 def large_links(sets: DataFrame, pivots: DataFrame, spec: Spec, scratch: Scratch) -> DataFrame:
     """Edges inside clusters that are dealt over `blocks` tasks each.
 
-    Pivots are sent to all blocks of their cluster. Units that they leave apart are then compared where they
-    share a rare shingle, so a unit is sent once for each of these, not for each block of its cluster. Of a
-    shingle with very many units, those outside the largest component so far are compared with all, in pairs
-    of blocks.
+    Pivots are sent to all blocks of their cluster. What they do not join to the largest component is then
+    compared with all units of the cluster, in pairs of blocks, so a unit is sent 2 * PAIRED_BLOCKS times at
+    most. In a larger cluster this is done for the units of each rare shingle: a unit is sent once for each
+    of its rare shingles, unless very many units have one of them.
     """
+    parts = lambda n, units: F.greatest(F.lit(1), F.ceil(n / BLOCK_SHINGLES), F.ceil(units / BLOCK_UNITS)).cast("long")
     all_ = scratch.table(sets)
     every = F.explode(F.expr("sequence(0L, blocks - 1)"))
     yes, no = F.lit(1).cast("long"), F.lit(0).cast("long")
@@ -506,16 +510,20 @@ def large_links(sets: DataFrame, pivots: DataFrame, spec: Spec, scratch: Scratch
     first = scratch.table(by_group(units.unionByName(pivots), ["cluster", "block"], lambda i, u, p: pivot_links(i, u, p, spec)))
     joined = components(first, scratch).select(F.col("node").alias("rep"), F.col("root").alias("mark"))
     marked = scratch.table(all_.select("rep", "cluster", (F.octet_length("set") / 8).alias("n")).join(joined, "rep", "left").withColumn("mark", F.coalesce("mark", "rep")))
-    apart = scratch.table(marked.groupBy("cluster").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low <> high").select("cluster"))
+    apart = marked.groupBy("cluster").agg(F.min("mark").alias("low"), F.max("mark").alias("high"), F.sum("n").alias("n_all"), F.count(F.lit(1)).alias("all")).where("low <> high")
+    apart = scratch.table(apart.select("cluster", (parts(F.col("n_all"), F.col("all")) > PAIRED_BLOCKS).alias("many")))
     if apart.isEmpty():
         return first
     small = apart.count() <= BROADCAST_UNITS
     keys = ["cluster", "shingle"]
-    rare = rare_shingles(all_.join(F.broadcast(apart) if small else apart, "cluster", "left_semi"), spec, scratch)
-    shared = scratch.table(rare.join(marked.select("rep", "mark", "n"), "rep"))
+    some = all_.select("cluster", "rep", "set").join(F.broadcast(apart) if small else apart, "cluster")
+    # A cluster that is not large is one group, of no shingle.
+    groups = some.where("not many").select("cluster", F.lit(0).cast("long").alias("shingle"), "rep")
+    if not apart.where("many").isEmpty():
+        groups = groups.unionByName(rare_shingles(some.where("many"), spec, scratch))
+    shared = scratch.table(groups.join(marked.select("rep", "mark", "n"), "rep"))
     sizes = shared.groupBy(*keys, "mark").agg(F.count(F.lit(1)).alias("n_units"), F.sum("n").alias("n"))
     main = sizes.groupBy(*keys).agg(F.max_by("mark", F.struct("n_units", "mark")).alias("main"), F.sum("n").alias("n_all"), F.max_by("n", F.struct("n_units", "mark")).alias("n_main"), F.sum("n_units").alias("all"), F.max("n_units").alias("most"))
-    parts = lambda n, units: F.greatest(F.lit(1), F.ceil(n / BLOCK_SHINGLES), F.ceil(units / BLOCK_UNITS)).cast("long")
     main = scratch.table(main.where("all > most").select(*keys, "main", parts(F.col("n_all") - F.col("n_main"), F.col("all") - F.col("most")).alias("rows"), parts(F.col("n_all"), F.col("all")).alias("cols")))
     rest = scratch.table(shared.drop("n").join(main, keys)).join(all_.select("rep", "set"), "rep")
     row, col = F.pmod(F.xxhash64(F.lit(6), "rep"), F.col("rows")), F.pmod(F.xxhash64(F.lit(7), "rep"), F.col("cols"))

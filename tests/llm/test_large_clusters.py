@@ -15,8 +15,7 @@ def linked(a, b, spec):
     return spec.den * n >= spec.num * (len(a) + len(b) - n)
 
 
-@pytest.mark.parametrize("block", [64, 4])
-@pytest.mark.parametrize("num", [80, 85])
+@pytest.mark.parametrize(("num", "block"), [(80, 16), (85, 4)])
 def test_links_of_a_large_cluster(spark, num, block, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK_UNITS", block)  # 4: shingles of several blocks
     monkeypatch.setattr(minhash, "BROADCAST_UNITS", 0 if block == 4 else 400_000)
@@ -49,9 +48,10 @@ def test_links_of_a_large_cluster(spark, num, block, monkeypatch):
     assert dealt[-1] <= 2 * len(sets)
 
 
-def test_linked_neighbours_of_a_large_cluster(spark, monkeypatch):
+@pytest.mark.parametrize("block", [8, 30])
+def test_linked_neighbours_of_a_large_cluster(spark, block, monkeypatch):
     """Links between sets of which the pivots know none."""
-    monkeypatch.setattr(minhash, "BLOCK_UNITS", 8)
+    monkeypatch.setattr(minhash, "BLOCK_UNITS", block)
     spec, rng = minhash.Spec(), random.Random(3)
     base = [set(rng.sample(range(1000), 25)) for _ in range(60)]
     sets = [b - set(rng.sample(sorted(b), k)) for b in base for k in range(5)]
