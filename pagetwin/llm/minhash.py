@@ -458,7 +458,9 @@ def pivot_links(ids, units, is_pivot, spec: Spec) -> list[tuple[int, int]]:
 
 def hubs(large: DataFrame, reps: DataFrame, scratch: Scratch) -> DataFrame:
     """(rep) of up to PIVOTS units of each cluster, those that share band keys with most others: a text that many edit is one."""
-    keys = scratch.table(large.select("cluster", "rep").join(reps.select("rep", F.explode("bands").alias("key")), "rep"))
+    mine = large.select("cluster", "rep")
+    mine = F.broadcast(mine) if mine.count() <= BROADCAST_UNITS else mine
+    keys = scratch.table(reps.select("rep", "bands").join(mine, "rep").select("cluster", "rep", F.explode("bands").alias("key")))
     often = scratch.table(keys.groupBy("cluster", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     few = often.count() <= BROADCAST_UNITS
     degree = keys.join(F.broadcast(often) if few else often, ["cluster", "key"]).groupBy("cluster", "rep").agg(F.sum("n").alias("n"))
